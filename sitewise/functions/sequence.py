@@ -76,11 +76,14 @@ def take_sites(sequence: Column, runs: Column) -> Column:
     """The sequence reduced to the given runs of sites.
 
     Runs are cut from the binary form: binary substring is constant time per run, string
-    substring walks the string from its start.
+    substring walks the string from its start. Sequence and runs enter as one-element arrays,
+    so that both are evaluated once per row and not once per run.
     """
-    return F.array_join(F.transform(
-        runs, lambda r: F.substring(sequence.cast("binary"), r["start"], r["len"]).cast("string")
-    ), "")
+    cut = F.zip_with(
+        F.array(sequence.cast("binary")), F.array(runs),
+        lambda s, rs: F.array_join(F.transform(
+            rs, lambda r: F.substring(s, r["start"], r["len"]).cast("string")), ""))
+    return F.element_at(cut, 1)
 
 
 def harmonic(n: Column, power: int = 1) -> Column:

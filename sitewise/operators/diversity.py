@@ -15,7 +15,7 @@ from sitewise.functions.sequence import (
 from sitewise.operators.haplotypes import collapse
 from sitewise.operators.pairs import group_pair_sums, mismatch_counts
 from sitewise.schema import COMPLETE, MISSING_GROUP, OVERALL, PAIRWISE, check_policy
-from sitewise.storage import dense_index
+from sitewise.storage import cut, dense_index
 
 
 def group_label(group: str | Column) -> Column:
@@ -168,7 +168,7 @@ def tajimas_d(samples: DataFrame, group: str | None) -> DataFrame:
 
 def signatures(samples: DataFrame, group: str | None, counts: DataFrame | None = None) -> DataFrame:
     """Distinct sequences over globally complete sites, per group, with counts and first sample."""
-    counts = counts if counts is not None else site_counts(samples, group)
+    counts = counts if counts is not None else cut(site_counts(samples, group), "site-counts")
     runs = site_runs(overall_complete(counts).select("pos"))
     masked = grouped(samples, group).withColumn("__runs", runs).withColumn(
         "sequence", take_sites(F.col("sequence"), F.col("__runs")))
@@ -202,13 +202,13 @@ def haplotype_metrics(per_group: DataFrame) -> DataFrame:
 
 
 def haplotype_diversity(samples: DataFrame, group: str | None) -> DataFrame:
-    out = haplotype_metrics(signatures(samples, group))
+    out = haplotype_metrics(cut(signatures(samples, group), "signatures"))
     return out if group else out.where("scope = 'overall'")
 
 
 def private_haplotypes(samples: DataFrame, group: str) -> DataFrame:
     """Signatures seen in one group only, in long form with their labels."""
-    per_group = signatures(samples, group)
+    per_group = cut(signatures(samples, group), "signatures")
     labels = signature_labels(per_group).where("groups = 1").select("fingerprint", "haplotype")
     return per_group.join(labels, "fingerprint").select("grp", "haplotype", "n")
 
@@ -216,12 +216,13 @@ def private_haplotypes(samples: DataFrame, group: str) -> DataFrame:
 def group_diversity(samples: DataFrame, group: str | None, policy: str = COMPLETE) -> DataFrame:
     """One row per group plus ``Overall`` with every diversity statistic.
 
-    Two passes over the sequences: allele counts, then signatures over the complete sites.
+    Two passes over the sequences: allele counts, then signatures over the complete sites. Both
+    small tables are written once, so the statistics never rescan the sequences.
     """
     check_policy(policy)
-    counts = site_counts(samples, group)
+    counts = cut(site_counts(samples, group), "site-counts")
     stats = site_statistics(counts)
-    haps = haplotype_metrics(signatures(samples, group, counts)).drop("n")
+    haps = haplotype_metrics(cut(signatures(samples, group, counts), "signatures")).drop("n")
     if group is None:
         haps = haps.where("scope = 'overall'")
     joined = stats.join(haps, ["scope", "grp"])
@@ -292,7 +293,7 @@ def mismatch_summary(bins: DataFrame) -> DataFrame:
 
 def scoped_sequences(samples: DataFrame, group: str | None) -> DataFrame:
     """Distinct sequences per scope over that scope's complete sites: scope, grp, sequence, n."""
-    counts = site_counts(samples, group)
+    counts = cut(site_counts(samples, group), "site-counts")
     kept = scope_sites(counts).where("complete AND alleles >= 2")
     by_site = Window.partitionBy("scope", "grp").orderBy("pos")
     islands = kept.select("scope", "grp", "pos",
