@@ -72,3 +72,78 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned sequences, one per customer, with a group, a nation and a numeric trait."""
     customer = spread(table(spark, sf_dir, "customer"))
     return spark.sql(SPARK_SAMPLES, customer=customer)
+
+
+# --- network over customers: every customer hangs off an earlier one (or starts a component),
+# --- and some close a cycle with an ancestor two or three steps up
+def _hex_int(text: str, engine: str) -> str:
+    return f"cast(conv({text}, 16, 10) AS bigint)" if engine == "spark" else f"('0x' || {text})::BIGINT"
+
+
+def _parent(k: str, engine: str) -> str:
+    key = f"cast({k} AS string)"
+    share = _hex_int(f"substr(md5(concat('net:', {key})), 1, 4)", engine)
+    return (f"CASE WHEN {k} IS NULL OR {k} = 0 OR substr(md5(concat('root:', {key})), 1, 1) < '4' THEN NULL "
+            f"ELSE cast(floor({k} * {share} / 65536e0) AS bigint) END")
+
+
+def _edges_sql(engine: str, customer: str = "customer") -> str:
+    weight = lambda tag: (
+        "1e0 + floor(" + _hex_int(f"substr(md5(concat('{tag}:', cast(k AS string))), 1, 1)", engine) + " / 4e0)")
+    par = f"(SELECT c_custkey AS k, {_parent('c_custkey', engine)} AS p FROM {customer})"
+    up = (f"SELECT a.k, a.p AS p1, b.p AS p2, c.p AS p3, substr(md5(concat('x:', cast(a.k AS string))), 1, 1) AS x "
+          f"FROM {par} a LEFT JOIN {par} b ON b.k = a.p LEFT JOIN {par} c ON c.k = b.p")
+    ends = ("stack(2, 0L, p1, 1L, CASE WHEN x < '3' THEN p2 WHEN x < '5' THEN p3 END) AS (slot, target)"
+            if engine == "spark" else
+            "unnest([0, 1]) AS slot, unnest([p1, CASE WHEN x < '3' THEN p2 WHEN x < '5' THEN p3 END]) AS target")
+    return (f"SELECT 2 * k + slot AS edge_index, k AS source, target, "
+            f"CASE WHEN slot = 0 THEN {weight('w1')} ELSE {weight('w2')} END AS distance "
+            f"FROM (SELECT k, {ends} FROM ({up})) WHERE target IS NOT NULL")
+
+
+_NODES_SQL = ("SELECT c_custkey AS node_id, CASE WHEN substr(md5(concat('lab:', c_name)), 1, 1) = '0' THEN '' "
+              "ELSE concat('H', cast(c_custkey + 1 AS string)) END AS label, coalesce(f, 0e0) AS frequency "
+              "FROM {c} LEFT JOIN (SELECT o_custkey, cast(count(*) AS double) AS f FROM {o} GROUP BY o_custkey) "
+              "ON o_custkey = c_custkey")
+_MEMBERS_SQL = ("SELECT o_custkey AS node_id, o_orderkey AS ord, concat('O', cast(o_orderkey AS string)) AS sample FROM {o}")
+_ASSIGN_SQL = ("SELECT concat('O', cast(o_orderkey AS string)) AS sample, concat('H', cast(o_custkey + "
+               "CASE WHEN substr(md5(concat('hap:', cast(o_orderkey AS string))), 1, 2) < '10' THEN 2 ELSE 1 END AS string)) AS haplotype "
+               "FROM {o} WHERE substr(md5(concat('hap:', cast(o_orderkey AS string))), 1, 2) <> 'ff'")
+# status and priority are categories (some blank), price is numeric (some not a number)
+_TRAITS_SQL = ("SELECT concat('O', cast(o_orderkey AS string)) AS sample, 'status' AS trait, 'discrete' AS kind, "
+               "CASE WHEN substr(md5(concat('s:', cast(o_orderkey AS string))), 1, 1) = '0' THEN ' ' ELSE o_orderstatus END AS value FROM {o} "
+               "UNION ALL SELECT concat('O', cast(o_orderkey AS string)), 'priority', 'discrete', o_orderpriority FROM {o} "
+               "UNION ALL SELECT concat('O', cast(o_orderkey AS string)), 'thousands', 'continuous', "
+               "CASE WHEN substr(md5(concat('t:', cast(o_orderkey AS string))), 1, 1) = '0' THEN 'n/a' "
+               "ELSE cast(cast(floor(o_totalprice / 1000e0) AS bigint) AS string) END FROM {o}")
+
+NETWORK_CTE = (
+    f"nodes AS MATERIALIZED ({_NODES_SQL.format(c='customer', o='orders')}), "
+    f"edges AS MATERIALIZED ({_edges_sql('duckdb')}), "
+    "arcs AS MATERIALIZED (SELECT edge_index, source AS u, target AS v, distance AS w FROM edges "
+    "UNION ALL SELECT edge_index, target, source, distance FROM edges)")
+MEMBERS_CTE = (
+    f"members AS MATERIALIZED ({_MEMBERS_SQL.format(o='orders')}), "
+    f"assignments AS MATERIALIZED ({_ASSIGN_SQL.format(o='orders')}), "
+    f"traits AS MATERIALIZED ({_TRAITS_SQL.format(o='orders')})")
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_NODES_SQL.format(c="{c}", o="{o}"), c=table(spark, sf_dir, "customer"),
+                     o=table(spark, sf_dir, "orders"))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_edges_sql("spark", "{customer}"), customer=table(spark, sf_dir, "customer"))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_MEMBERS_SQL.format(o="{o}"), o=table(spark, sf_dir, "orders"))
+
+
+def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ASSIGN_SQL.format(o="{o}"), o=table(spark, sf_dir, "orders"))
+
+
+def traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_TRAITS_SQL.format(o="{o}"), o=table(spark, sf_dir, "orders"))

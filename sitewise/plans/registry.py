@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.plans.bridge import CELLS_CTE, SAMPLES_CTE
+from sitewise.plans.bridge import CELLS_CTE, MEMBERS_CTE, NETWORK_CTE, SAMPLES_CTE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -14,12 +14,17 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a query. ``{samples}`` and ``{cells}`` in the SQL open the derived tables."""
+    """Register a query. ``{samples}``, ``{cells}``, ``{network}`` and ``{members}`` in the SQL
+    stand for the derived tables."""
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = oracle.replace("{samples}", SAMPLES_CTE).replace("{cells}", CELLS_CTE)
+            sql = oracle
+            for key, text in (("samples", SAMPLES_CTE), ("cells", CELLS_CTE),
+                              ("network", NETWORK_CTE), ("members", MEMBERS_CTE)):
+                sql = sql.replace("{" + key + "}", text)
+            ORACLES[name] = sql
         return fn
     return add

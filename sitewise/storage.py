@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # One ranking bucket holds at most this many rows, because the keys are distinct integers.
@@ -45,6 +45,22 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str = "cut", fingerprint: bool = False
+                ) -> tuple[DataFrame, tuple[int, int]]:
+    """``cut`` that also returns the row count (and an order-free content hash).
+
+    Both are observed while the table is written, so a loop needs no extra job to decide
+    whether it is done.
+    """
+    seen = Observation()
+    metrics = [F.count(F.lit(1)).alias("n")]
+    if fingerprint:
+        metrics.append(F.bit_xor(F.xxhash64(*df.columns)).alias("h"))
+    out = cut(df.observe(seen, *metrics), label)
+    got = seen.get
+    return out, (got["n"], got.get("h", 0))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a small scan arrives in fewer splits than there are cores.
 
