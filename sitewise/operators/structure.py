@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewise.functions.sequence import harmonic, is_callable, site_runs, take_sites  # noqa: F401
+from sitewise.functions.sequence import site_runs, take_sites
 from sitewise.operators.diversity import (
     grouped, overall_complete, scope_sites, site_counts)
-from sitewise.operators.haplotypes import collapse
-from sitewise.operators.pairs import group_pair_sums
+from sitewise.operators.pairs import (
+    _placed, _split, block_pairs, codes, compare, group_pair_sums)
 from sitewise.schema import CALLABLE, COMPLETE, PAIRWISE, check_policy
 from sitewise.storage import cut
 
 RANK_ROWS = 1 << 16
 TIE_DIGITS = 12
+# Replicates whose label counts travel together to one block pair.
+REPLICATE_SLICE = 50
 
 
 def _half_pairs(n: Column) -> Column:
@@ -295,14 +299,87 @@ def permutation_statistics(samples: DataFrame, group: str, permutations: int, se
     return _amova_columns(table).select("rep", "fst", "phi_st")
 
 
+def pairwise_permutation_fst(samples: DataFrame, group: str, permutations: int, seed: int) -> DataFrame:
+    """Global FST per replicate under pairwise deletion: ``rep, fst``; ``rep`` 0 is observed.
+
+    Distances of distinct sequences are compared block by block; a block pair receives the
+    label counts of its own sequences for a slice of the replicates and returns group sums.
+    """
+    base = grouped(samples, group).withColumn("fingerprint", F.sha2("sequence", 256))
+    members = cut(base.select("sample_idx", "grp", "fingerprint"), "members")
+    units = cut(base.groupBy("fingerprint").agg(F.min("sample_idx").alias("idx"), F.first("sequence").alias("sequence")), "units")
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    shape = sizes.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).first()
+    dealt = members.groupBy("grp", "fingerprint").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(0).alias("rep"), "grp", "fingerprint", "n")
+    if permutations:
+        dealt = dealt.unionByName(shuffle_labels(members, sizes, permutations, seed, shape["total"]))
+    placed = cut(_placed(units, "idx"), "units")
+    slices = F.explode(F.sequence(F.lit(0), F.lit(permutations // REPLICATE_SLICE))).alias("slice")
+    left = block_pairs(placed.select("idx", "sequence", "__block", "__blocks"), "idx", "__block", "__blocks").select("*", slices)
+    # fresh columns: both sides of the cogroup come from one table
+    where = placed.select("fingerprint", *[F.col(c).alias(c) for c in ("idx", "__block", "__blocks")])
+    counts = block_pairs(dealt.join(where, "fingerprint").select(
+        "rep", "grp", "idx", "n", "__block", "__blocks", F.expr(f"rep div {REPLICATE_SLICE}").cast("int").alias("slice")),
+        "idx", "__block", "__blocks")
+
+    def work(seqs: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"rep": [], "a": [], "b": [], "pairs": [], "dist": []})
+        if seqs.empty or labels.empty:
+            return empty
+        lo, hi, same = _split(seqs)
+        valid, diff = compare(codes(lo["sequence"]), codes(hi["sequence"]))
+        share, known = diff / np.maximum(valid, 1), (valid > 0).astype(float)
+        names = np.unique(labels["grp"])
+        out = []
+        for rep, rows in labels.groupby("rep"):
+            def counts_of(side: pd.DataFrame) -> np.ndarray:
+                place = pd.Index(side["idx"]).get_indexer(rows["idx"])
+                c = np.zeros((len(names), len(side)))
+                ok = place >= 0
+                np.add.at(c, (np.searchsorted(names, rows["grp"])[ok], place[ok]), rows["n"].to_numpy()[ok])
+                return c
+            cl = counts_of(lo)
+            cr = cl if same else counts_of(hi)
+            pairs, dist = cl @ known @ cr.T, cl @ share @ cr.T
+            if same:
+                own = cl @ np.diag(known)
+                pairs, dist = np.triu(pairs), np.triu(dist)
+                np.fill_diagonal(pairs, (np.diag(pairs) - own) / 2)
+                np.fill_diagonal(dist, np.diag(dist) / 2)
+            else:
+                pairs = np.triu(pairs) + np.tril(pairs, -1).T
+                dist = np.triu(dist) + np.tril(dist, -1).T
+            i, j = np.triu_indices(len(names))
+            out.append(pd.DataFrame({"rep": int(rep), "a": names[i], "b": names[j], "pairs": pairs[i, j], "dist": dist[i, j]}))
+        return pd.concat(out)
+
+    sums = (left.groupBy("__lo", "__hi", "slice").cogroup(counts.groupBy("__lo", "__hi", "slice"))
+            .applyInPandas(work, "rep int, a string, b string, pairs double, dist double")
+            .groupBy("rep", "a", "b").agg((F.sum("dist") / F.nullif(F.sum("pairs"), F.lit(0.0))).alias("pi")))
+    inside = F.col("a") == F.col("b")
+    g = shape["g"]
+    whole = ((F.count_if(inside & F.col("pi").isNotNull()) == g)
+             & (F.count_if(~inside & F.col("pi").isNotNull()) == g * (g - 1) // 2))
+    within, between = F.avg(F.when(inside, F.col("pi"))), F.avg(F.when(~inside, F.col("pi")))
+    usable = F.lit(g >= 2 and shape["least"] >= 2)
+    return sums.groupBy("rep").agg(
+        F.when(usable & whole & (between > 0), 1.0 - within / between).alias("fst"))
+
+
 def permutation_test(samples: DataFrame, group: str, permutations: int = 999,
-                     seed: int = 1729) -> DataFrame:
+                     seed: int = 1729, policy: str = COMPLETE) -> DataFrame:
     """One-sided label-permutation P values of global FST and phi_st.
 
     P = (extreme + 1) / (valid + 1) with ``>=``; values are compared after rounding to twelve
-    digits, so that equal partitions tie whatever the order of summation.
+    digits, so that equal partitions tie whatever the order of summation. The policy concerns
+    FST only; AMOVA always uses the sites callable in every sample.
     """
-    stats = cut(permutation_statistics(samples, group, permutations, seed), "permutations")
+    check_policy(policy)
+    stats = permutation_statistics(samples, group, permutations, seed)
+    if policy == PAIRWISE:
+        stats = stats.drop("fst").join(pairwise_permutation_fst(samples, group, permutations, seed), "rep", "left")
+    stats = cut(stats, "permutations")
     long = stats.select("rep", F.explode(F.array(
         F.struct(F.lit("fst").alias("statistic"), F.round("fst", TIE_DIGITS).alias("value")),
         F.struct(F.lit("phi_st").alias("statistic"), F.round("phi_st", TIE_DIGITS).alias("value"))

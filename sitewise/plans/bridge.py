@@ -24,14 +24,14 @@ MESSY = _hex("messy", 2)
 HEX, BASES, NEXT = "0123456789abcdef", "ACGTACGTACGTACGT", "CGTACGTACGTACGTA"
 
 # A symbol at site p of one customer: rare unknown, gap or ambiguity codes on "messy" sites,
-# rare private mutations, clade mutations, else the ancestral base. The largest clade holds
+# rare private mutations outside the conserved sites, clade mutations, else the ancestral base. The largest clade holds
 # over a third of the customers.
 _SYMBOL = (
     f"CASE WHEN substr('{MESSY}', p, 1) < '6' AND substr(h, 4*p-3, 4) < '0050' THEN 'N' "
     f"WHEN substr('{MESSY}', p, 1) < '6' AND substr(h, 4*p-3, 4) < '0078' THEN '-' "
     f"WHEN substr('{MESSY}', p, 1) < '6' AND substr(h, 4*p-3, 4) < '0090' THEN 'R' "
-    f"WHEN substr(h, 4*p-3, 4) > 'ff70' THEN translate(substr(h, 4*p, 1), '{HEX}', '{BASES}') "
-    f"WHEN substr(hc, 2*p-1, 2) < '10' THEN translate(substr(hc, 2*p, 1), '{HEX}', '{NEXT}') "
+    f"WHEN substr('{MESSY}', p, 1) < 'a' AND substr(h, 4*p-3, 4) > 'ff70' THEN translate(substr(h, 4*p, 1), '{HEX}', '{BASES}') "
+    f"WHEN substr(hc, 2*p-1, 2) < '0c' THEN translate(substr(hc, 2*p, 1), '{HEX}', '{NEXT}') "
     f"ELSE translate(substr('{ROOT}', p, 1), '{HEX}', '{BASES}') END"
 )
 _H = "concat(" + ", ".join(f"md5(concat(c_name, ':{i}'))" for i in range(8)) + ")"

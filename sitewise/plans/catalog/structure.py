@@ -139,6 +139,29 @@ def permutation_test(spark, d):
                    "observed", "p_value")
 
 
+_PERM_PW = f"""mem AS (SELECT sample_idx, coalesce(nullif(trim(grp), ''), '(missing)') AS grp, u.idx AS hid FROM samples s JOIN uniq u USING (sequence)),
+ sz AS (SELECT grp, count(*) AS n, sum(count(*)) OVER (ORDER BY grp) AS hi FROM mem GROUP BY grp),
+ rk AS (SELECT r.rep, hid, row_number() OVER (PARTITION BY r.rep ORDER BY ('0x' || substr(md5('1729:' || r.rep || ':' || sample_idx), 1, 15))::BIGINT, sample_idx) AS k
+  FROM mem, (SELECT unnest(range(1, 100)) AS rep) r),
+ lb AS MATERIALIZED (SELECT rep, sz.grp, hid, count(*) AS n FROM rk JOIN sz ON k > sz.hi - sz.n AND k <= sz.hi GROUP BY ALL
+  UNION ALL SELECT 0, grp, hid, count(*) FROM mem GROUP BY ALL),
+ ps AS (SELECT x.rep, least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, sum(x.n * y.n) AS w, sum(x.n * y.n * diff / valid) AS d
+  FROM dist JOIN lb x ON x.hid = i JOIN lb y ON y.hid = j AND y.rep = x.rep GROUP BY ALL
+  UNION ALL SELECT x.rep, x.grp, y.grp, sum(CASE WHEN x.grp = y.grp THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END), 0 FROM lb x JOIN lb y ON x.rep = y.rep AND x.hid = y.hid AND x.grp <= y.grp GROUP BY ALL),
+ pi AS (SELECT rep, a, b, sum(d) / sum(w) AS pi FROM ps GROUP BY ALL),
+ fs AS (SELECT rep, round(1 - avg(pi) FILTER (a = b) / avg(pi) FILTER (a <> b), 12) AS v FROM pi GROUP BY rep), o AS (SELECT v AS observed FROM fs WHERE rep = 0)
+ SELECT 'fst' AS statistic, round(observed, 9) AS observed, count(*) FILTER (rep > 0) AS permutation_count, count(*) FILTER (rep > 0 AND v >= observed) AS extreme,
+ round((count(*) FILTER (rep > 0 AND v >= observed) + 1) / (count(*) FILTER (rep > 0) + 1), 9) AS p_value FROM fs, o GROUP BY observed"""
+
+
+@query("permutation_test_pairwise", "WITH {samples}, uniq AS (SELECT sequence, min(sample_idx) AS idx, count(*) AS n FROM samples GROUP BY sequence), "
+       "uc AS (SELECT idx, q.pos, substr(sequence, q.pos, 1) AS base FROM uniq, (SELECT unnest(range(1, 65)) AS pos) q WHERE substr(sequence, q.pos, 1) IN ('A','C','G','T')), "
+       "dist AS MATERIALIZED (SELECT a.idx AS i, b.idx AS j, count(*) AS valid, count(*) FILTER (a.base <> b.base) AS diff FROM uc a JOIN uc b ON a.pos = b.pos AND a.idx < b.idx GROUP BY ALL), " + _PERM_PW)
+def permutation_test_pairwise(spark, d):
+    out = st.permutation_test(samples(spark, d), "grp", 99, 1729, "pairwise")
+    return rounded(out.where("statistic = 'fst'"), "observed", "p_value")
+
+
 @query("fst_matrix", "WITH {cells}, " + _GS + _FP + """,
  f AS (SELECT ga, gb, CASE WHEN pab > 0 THEN round(1 - ((pa + pb) / 2) / pab, 9) END AS fst FROM fp)
  SELECT ga AS "row", gb AS col, fst AS value FROM f UNION ALL SELECT gb, ga, fst FROM f
