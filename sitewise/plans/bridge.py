@@ -23,37 +23,51 @@ ROOT = _hex("root", 2)
 MESSY = _hex("messy", 2)
 HEX, BASES, NEXT = "0123456789abcdef", "ACGTACGTACGTACGT", "CGTACGTACGTACGTA"
 
-# A symbol at site p of one customer: rare unknown, gap or ambiguity codes on "messy" sites,
-# rare private mutations outside the conserved sites, clade mutations, else the ancestral base. The largest clade holds
-# over a third of the customers.
-_SYMBOL = (
-    f"CASE WHEN substr('{MESSY}', p, 1) < '6' AND substr(h, 4*p-3, 4) < '0050' THEN 'N' "
-    f"WHEN substr('{MESSY}', p, 1) < '6' AND substr(h, 4*p-3, 4) < '0078' THEN '-' "
-    f"WHEN substr('{MESSY}', p, 1) < '6' AND substr(h, 4*p-3, 4) < '0090' THEN 'R' "
-    f"WHEN substr('{MESSY}', p, 1) < 'a' AND substr(h, 4*p-3, 4) > 'ff70' THEN translate(substr(h, 4*p, 1), '{HEX}', '{BASES}') "
-    f"WHEN substr(hc, 2*p-1, 2) < '0c' THEN translate(substr(hc, 2*p, 1), '{HEX}', '{NEXT}') "
-    f"ELSE translate(substr('{ROOT}', p, 1), '{HEX}', '{BASES}') END"
-)
-_H = "concat(" + ", ".join(f"md5(concat(c_name, ':{i}'))" for i in range(8)) + ")"
-_HC = "concat(" + ", ".join(f"md5(concat('clade:', clade, ':{i}'))" for i in range(4)) + ")"
+
+def _clade_sequence(clade: str) -> str:
+    """Ancestral sequence of a clade: the root with a few sites replaced."""
+    h = _hex(f"clade:{clade}", 4)
+    return "".join(NEXT[int(h[2 * p + 1], 16)] if h[2 * p:2 * p + 2] < "0c" else BASES[int(ROOT[p], 16)]
+                   for p in range(SITES))
+
+
+# A customer carries the sequence of its clade (the largest holds over a third of them) and up to
+# two private events: on a "messy" site an unknown, gap or ambiguity code or a mutation, on other
+# sites a mutation, on conserved sites nothing.
 _CLADE = ("CASE WHEN substr(md5(concat('c:', c_name)), 1, 1) < '6' THEN '0' "
           "ELSE substr(md5(concat('c:', c_name)), 1, 1) END")
+_FOUNDER = "CASE clade " + " ".join(f"WHEN '{c}' THEN '{_clade_sequence(c)}'" for c in HEX) + " END"
 _FIELDS = ("c_custkey AS sample_idx, c_name AS sample, "
            "CASE WHEN c_nationkey = 7 THEN '' ELSE c_mktsegment END AS grp, "
            "concat('NATION_', cast(c_nationkey AS string)) AS nation, "
            "c_acctbal AS value, clade")
 
 
-def _samples_sql(symbols: str) -> str:
-    return (f"SELECT {_FIELDS}, {symbols} AS sequence FROM "
-            f"(SELECT *, {_HC} AS hc FROM (SELECT *, {_H} AS h, {_CLADE} AS clade FROM customer))")
+def _hex_int(text: str, engine: str) -> str:
+    return f"cast(conv({text}, 16, 10) AS bigint)" if engine == "spark" else f"('0x' || {text})::BIGINT"
 
 
-SPARK_SAMPLES = _samples_sql(
-    f"array_join(transform(sequence(1, {SITES}), p -> {_SYMBOL}), '')").replace(
-    "FROM customer)", "FROM {customer})")
-DUCK_SAMPLES = _samples_sql(
-    f"array_to_string(list_transform(range(1, {SITES + 1}), lambda p: {_SYMBOL}), '')")
+def _samples_sql(engine: str, customer: str = "customer") -> str:
+    def place(digits: int) -> str:  # 1..64, or beyond the alignment for three quarters of the rows
+        return f"1 + cast(floor({_hex_int(f'substr(h, {digits}, 3)', engine)} / 16e0) AS int)"
+    def event(site: str, digit: int) -> str:
+        sign = f"substr(h, {digit}, 1)"
+        return (f"CASE WHEN substr('{MESSY}', {site}, 1) >= 'a' THEN substr(s, {site}, 1) "
+                f"WHEN substr('{MESSY}', {site}, 1) < '6' AND {sign} < '3' THEN 'N' "
+                f"WHEN substr('{MESSY}', {site}, 1) < '6' AND {sign} < '5' THEN '-' "
+                f"WHEN substr('{MESSY}', {site}, 1) < '6' AND {sign} < '6' THEN 'R' "
+                f"ELSE translate(substr(h, {digit + 1}, 1), '{HEX}', '{BASES}') END")
+    def put(s: str, site: str, symbol: str) -> str:
+        return (f"CASE WHEN {site} <= {SITES} THEN concat(substr({s}, 1, {site} - 1), {symbol}, "
+                f"substr({s}, {site} + 1, {SITES})) ELSE {s} END")
+    founder = (f"SELECT *, {_FOUNDER} AS s, {place(1)} AS p1, {place(4)} AS p2 FROM "
+               f"(SELECT *, md5(concat('e:', c_name)) AS h, {_CLADE} AS clade FROM {customer})")
+    once = f"SELECT *, {put('s', 'p1', event('p1', 7))} AS s1 FROM ({founder})"
+    return f"SELECT {_FIELDS}, {put('s1', 'p2', event('p2', 9))} AS sequence FROM ({once})"
+
+
+DUCK_SAMPLES = _samples_sql("duckdb")
+SPARK_SAMPLES = _samples_sql("spark", "{customer}")
 
 SAMPLES_CTE = f"samples AS MATERIALIZED ({DUCK_SAMPLES})"
 CELLS_CTE = (
@@ -76,10 +90,6 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- network over customers: every customer hangs off an earlier one (or starts a component),
 # --- and some close a cycle with an ancestor two or three steps up
-def _hex_int(text: str, engine: str) -> str:
-    return f"cast(conv({text}, 16, 10) AS bigint)" if engine == "spark" else f"('0x' || {text})::BIGINT"
-
-
 def _parent(k: str, engine: str) -> str:
     key = f"cast({k} AS string)"
     share = _hex_int(f"substr(md5(concat('net:', {key})), 1, 4)", engine)

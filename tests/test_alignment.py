@@ -172,7 +172,7 @@ def test_mismatch_bins_sum_to_pairs(make):
 
 
 def test_pcoa_matches_dense_solution(make):
-    rows = [(f"s{i}", "a", s) for i, s in enumerate(["ACGTACGT", "ACGTACGA", "ACGTTCGA", "GCGTTCGA", "GCGATCTA", "ACGTACGT"])]
+    rows = [(f"s{i}", "a", s) for i, s in enumerate(["ACGTACGT", "ACTTACGA", "ACGTTCGA", "GCGTTCGT", "GCGATCTA", "ACGTACGT"])]
     out = an.analyze_distance(make(rows))
     got = out["coordinates"].toPandas().pivot(index="idx", columns="axis", values="value")
     full = np.array([[sum(a != b for a, b in zip(x[2], y[2])) / 8 for y in rows] for x in rows])
