@@ -76,8 +76,9 @@ def quality_report(samples: DataFrame, policy: str = COMPLETE) -> DataFrame:
 def top_missing_samples(samples: DataFrame, k: int = 25) -> DataFrame:
     """The ``k`` samples with the highest positive missing rate, with a tone per band."""
     rate = F.col("missing_rate")
-    return (sample_quality(samples).where(rate > 0)
-            .orderBy(rate.desc(), "sample_idx").limit(k)
+    # positive rates sort first, so the filter can follow the top-k
+    return (sample_quality(samples)
+            .orderBy(rate.desc(), "sample_idx").limit(k).where(rate > 0)
             .select("sample_idx", "sample", "missing_rate",
                     F.when(rate < 0.05, "good").when(rate < 0.20, "warn").otherwise("bad")
                     .alias("tone")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+BROADCAST_SPLITS = 200_000
+
 
 def ordered_text(spark: SparkSession, path: str | list[str], line_sep: str | None = None) -> DataFrame:
     """``file, line`` (0-based inside its file), ``row`` (0-based over all files) and ``value``.
@@ -24,7 +26,11 @@ def ordered_text(spark: SparkSession, path: str | list[str], line_sep: str | Non
         before(Window.partitionBy("file").orderBy("__start")).alias("__in_file"),
         before(Window.partitionBy(F.lit(0)).orderBy("file", "__start")).alias("__in_all"))
     place = F.col("__id") - F.col("__first")
-    return raw.join(F.broadcast(offsets), ["file", "__start"]).select(
+    # there are at most as many splits as files plus full partitions; a small table is broadcast,
+    # a larger one is left to the join, where one key is one split
+    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    return raw.join(offsets, ["file", "__start"]).select(
         "file", (place + F.col("__in_file")).alias("line"), (place + F.col("__in_all")).alias("row"), "value")
 
 
