@@ -194,9 +194,9 @@ def shuffle_labels(members: DataFrame, sizes: DataFrame, permutations: int, seed
                             F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
              .withColumn("__h", F.substring(F.md5(F.concat_ws(
                  ":", F.lit(str(seed)), F.col("rep").cast("string"),
-                 F.col("sample_idx").cast("string"))), 1, 15))
-             .withColumn("__key", F.conv("__h", 16, 10).cast("bigint")))
-    order = ["__key", "sample_idx"]
+                 F.col("sample_idx").cast("string"))), 1, 15)))
+    # hex text of one width sorts like the number it spells
+    order = ["__h", "sample_idx"]
     if digits == 0:
         ranked = keyed.withColumn("__rank", F.row_number().over(
             Window.partitionBy("rep").orderBy(*order)))
