@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -10,27 +9,45 @@ from pyspark.sql import functions as F
 
 # One ranking bucket holds at most this many rows, because the keys are distinct integers.
 RANK_WIDTH = 1 << 18
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; named by ``spark.checkpoint.dir``.
+    """Folder that the driver and every executor can reach.
 
-    Only where the session names none (tests on one machine) a local folder is chosen.
+    ``spark.checkpoint.dir`` of the session, else the folder already set for checkpoints, else a
+    folder under ``spark.sql.warehouse.dir``. A folder of one machine is refused on a cluster.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sitewise-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        if system.getScheme() == "file" and not context.master.startswith("local"):
+            raise ValueError(f"{folder} is local to one machine; set spark.checkpoint.dir")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every scratch table this driver has written; returns their number.
+
+    Call it once the results that read them are saved.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    count = 0
+    while _written:
+        path = hadoop.Path(_written.pop())
+        count += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
