@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import fingerprints, mixing, packing, quality, secrets, urlfilter
+from sitewise.llm import fingerprints, jaccard, mixing, packing, quality, secrets, urlfilter
 from sitewise.llm.oracles import ORACLES
 
 RULES = [urlfilter.Rule("com/en/", "block"), urlfilter.Rule("example.com/en/7", "allow"),
@@ -40,6 +40,10 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.components(table(spark, folder, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, folder, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -50,5 +54,5 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_fingerprints, op5_url_filter,
+    f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_fingerprints, op5_url_filter, op8_ngram_jaccard,
                             op9_mix_sources, op10_secret_scan)}
