@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ def node_of(cols: np.ndarray) -> int:
     return int(mix(np.array([key.sum(dtype=np.uint64)], np.uint64))[0] >> np.uint64(1))
 
 
+def body_of(text: bytes) -> int:
+    """Key of a lower-cased text, far cheaper than its set."""
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
 def bitmap_of(cols: np.ndarray) -> bytes:
     """Parity bit map: two maps differ in at most as many bits as the sets have different members."""
     counts = np.bincount((mix(cols) & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP)
@@ -55,8 +61,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 _MEMBER = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()),
-                     ("part", pa.int32()), ("counts", pa.binary())])
-_MEMBER_DDL = "doc_id long, node long, n long, bits binary, part int, counts binary"
+                     ("body", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+_MEMBER_DDL = "doc_id long, node long, n long, bits binary, body long, part int, counts binary"
 
 
 def _members(width: int):
@@ -67,8 +73,10 @@ def _members(width: int):
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                cols = shingles(hashes.of(text.lower().split()), width)
-                rows.append((doc, node_of(cols), len(cols), bitmap_of(cols) if len(cols) else None, None, None))
+                text = text.lower()
+                cols = shingles(hashes.of(text.split()), width)
+                rows.append((doc, node_of(cols), len(cols), bitmap_of(cols) if len(cols) else None, body_of(text),
+                             None, None))
                 counts[cols >> np.uint64(64 - SKETCH_BITS)] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MEMBER)], schema=_MEMBER)
@@ -76,7 +84,7 @@ def _members(width: int):
             if counts[part:part + _PART].any():
                 packed = zlib.compress(counts[part:part + _PART].tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
-                    (None, None, None, None, part // _PART, packed), _MEMBER)], schema=_MEMBER)
+                    (None, None, None, None, None, part // _PART, packed), _MEMBER)], schema=_MEMBER)
     return scan
 
 
@@ -243,12 +251,12 @@ def _products(percent: int):
     return stream
 
 
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """Bit map of hashed nodes, of fixed size; passes every node and, in a large input, others."""
+def _filter_bits(bodies: DataFrame) -> np.ndarray:
+    """Bit map of bodies, of fixed size; passes every one of them and, in a large input, others."""
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
         for batch in batches:
-            bits[batch.column("node").to_numpy() & ((1 << FILTER_BITS) - 1)] = True
+            bits[batch.column("body").to_numpy() & ((1 << FILTER_BITS) - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["bits"])
 
     def union(group: pd.DataFrame) -> pd.DataFrame:
@@ -257,28 +265,28 @@ def _filter_bits(nodes: DataFrame) -> np.ndarray:
             bits |= np.frombuffer(zlib.decompress(packed), np.uint8)
         return pd.DataFrame({"bits": [bits.tobytes()]})
 
-    parts = nodes.mapInArrow(part, "bits binary")
+    parts = bodies.mapInArrow(part, "bits binary")
     rows = parts.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(union, "bits binary").collect()
     return (np.unpackbits(np.frombuffer(rows[0]["bits"], np.uint8)).astype(bool) if rows
             else np.zeros(1 << FILTER_BITS, bool))
 
 
-_TEXT = pa.schema([("node", pa.int64()), ("body", pa.binary())])
+_TEXT = pa.schema([("body", pa.int64()), ("text", pa.binary())])
 
 
-def _bodies(wanted: Broadcast, width: int):
+def _bodies(wanted: Broadcast):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, mask = WordHashes(), set(), (1 << FILTER_BITS) - 1
+        seen, mask = set(), (1 << FILTER_BITS) - 1
         for batch in batches:
             out = []
             for text in texts_of(batch):
                 text = text.lower()
-                node = node_of(shingles(hashes.of(text.split()), width))
-                if node >= 0 and node not in seen and wanted.value[node & mask]:
+                body = body_of(text)
+                if wanted.value[body & mask] and body not in seen:
                     if len(seen) >= _SEEN:
                         seen.clear()
-                    seen.add(node)
-                    out.append((node, text))
+                    seen.add(body)
+                    out.append((body, text))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _TEXT)], schema=_TEXT)
     return scan
@@ -299,13 +307,17 @@ def _overlaps(width: int, percent: int):
     return scan
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets are similar enough."""
+def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs whose whole sets are similar enough.
+
+    A scan passes the texts that may be asked for; a join on their keys keeps those that are.
+    """
     spark = docs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    wanted = spark.sparkContext.broadcast(_filter_bits(nodes))
-    bodies = (docs.select("text").mapInArrow(_bodies(wanted, width), "node long, body binary")
-              .join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = cut(members.join(nodes, "node").groupBy("node").agg(F.min("body").alias("body")), "jaccard-asked")
+    wanted = spark.sparkContext.broadcast(_filter_bits(asked.select("body")))
+    bodies = (docs.select("text").mapInArrow(_bodies(wanted), "body long, text binary")
+              .join(asked, "body").groupBy("node").agg(F.first("text").alias("body")))
     bodies = cut(bodies, "jaccard-bodies")
     both = (pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), "a")
             .join(bodies.select(F.col("node").alias("b"), F.col("body").alias("y")), "b"))
@@ -318,7 +330,7 @@ def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
     spark = docs.sparkSession
     read = docs.select("doc_id", "text")
     scanned = cut(read.mapInArrow(_members(width), _MEMBER_DDL), "jaccard-members")
-    members = scanned.filter("part is null").select("doc_id", "node", "n", "bits")
+    members = scanned.filter("part is null").select("doc_id", "node", "n", "bits", "body")
     levels = spark.sparkContext.broadcast(frequency_levels(scanned.filter("part is not null").select("part", "counts")))
     entries = read.select("text").mapInArrow(_entries(levels, width, percent), _ENTRY_DDL)
     found = cut(_runs(entries, percent), "jaccard-columns")
@@ -327,7 +339,7 @@ def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
     stars = cut(found.filter(F.col("kind") == EDGE).select("a", "b").unionAll(
         hubs.filter(F.col("kind") == EDGE).select("a", "b")).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
-    links = _verified(docs, stars, width, percent)
+    links = _verified(docs, members, stars, width, percent)
     labels = component_labels(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     shared = (found.filter((F.col("kind") == SHARED) | ((F.col("kind") == CENTRE) & (F.col("blocks") > 1)))
@@ -344,7 +356,7 @@ def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
     pairs = (rest.repartition(n, "col", "i", "j").sortWithinPartitions("col", "i", "j")
              .mapInArrow(_products(percent), "a long, b long").distinct())
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = _verified(docs, pairs, width, percent)
+    more = _verified(docs, members, pairs, width, percent)
     every = links.unionAll(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
     return members.select("doc_id", "node", "n"), component_labels(every)
 
