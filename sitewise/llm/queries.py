@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import brown, fingerprints, jaccard, mixing, packing, quality, secrets, urlfilter
+from sitewise.llm import brown, fingerprints, jaccard, mixing, packing, quality, secrets, substrings, urlfilter
 from sitewise.llm.oracles import ORACLES
 
 RULES = [urlfilter.Rule("com/en/", "block"), urlfilter.Rule("example.com/en/7", "allow"),
@@ -40,6 +40,11 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_class_lm(spark: SparkSession, folder: str) -> DataFrame:
     return brown.score(table(spark, folder, "documents"))
 
@@ -58,5 +63,6 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_fingerprints, op5_url_filter, op7_class_lm, op8_ngram_jaccard,
+    f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_fingerprints, op5_url_filter,
+                            op6_suffix_array_dedup, op7_class_lm, op8_ngram_jaccard,
                             op9_mix_sources, op10_secret_scan)}
