@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.llm import brown, fingerprints, jaccard, mixing, packing, quality, secrets, substrings, urlfilter
+from sitewise.llm import brown, fingerprints, jaccard, linededup, mixing, packing, quality, secrets, substrings, urlfilter
 from sitewise.llm.oracles import ORACLES
 
 RULES = [urlfilter.Rule("com/en/", "block"), urlfilter.Rule("example.com/en/7", "allow"),
@@ -30,6 +30,13 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, folder, "documents"))
+    return kept.select("doc_id", F.col("__lines.n_lines").cast("bigint").alias("n_lines"),
+                       F.col("__lines.n_removed").cast("bigint").alias("n_removed"),
+                       F.sha2("__lines.kept", 256).alias("kept_sha256"))
+
+
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.robustness(table(spark, folder, "documents"))
 
@@ -63,6 +70,6 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op4_fingerprints, op5_url_filter,
-                            op6_suffix_array_dedup, op7_class_lm, op8_ngram_jaccard,
-                            op9_mix_sources, op10_secret_scan)}
+    f.__name__: f for f in (
+        op1_quality_rules, op2_best_fit_packing, op3_line_dedup, op4_fingerprints, op5_url_filter,
+        op6_suffix_array_dedup, op7_class_lm, op8_ngram_jaccard, op9_mix_sources, op10_secret_scan)}
