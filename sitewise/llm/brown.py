@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sitewise.llm.words import texts_of
+from sitewise.llm.words import pieces, texts_of
 from sitewise.storage import cut
 
 CLASSES = 48
@@ -54,7 +54,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()),
                                            pa.array(list(counts.values()), pa.int64())], schema=_COUNT)
 
-    for batch in batches:
+    for batch in pieces(batches):
         for text in texts_of(batch):
             counts.update(text.lower().split())
             counts[END] += 1
@@ -88,7 +88,7 @@ def _neighbours(frequent: list[bytes]):
         known = Units(frequent, len(frequent))
         end = np.array([units - 1])
         table = np.zeros(units * units, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             held, size = [], 0
             for text in texts_of(batch):
                 words = text.lower().split()
@@ -274,7 +274,7 @@ def _score(shared, ends: int):
         other = (np.arange(len(cls)) >= n_listed) & (np.arange(len(cls)) < len(cls) - 1)
         base[other], emit[other] = -whole, -m.room[cls[other]]
         end = np.array([len(cls) - 1])
-        for batch in batches:
+        for batch in pieces(batches):
             docs, rest = [], []
             rows, ids, outs = (batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out"))
             for row, doc, out, text in zip(rows, ids, outs, texts_of(batch)):
@@ -298,7 +298,7 @@ def _score(shared, ends: int):
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         words = batch.column("word").to_pylist()
         yield pa.RecordBatch.from_arrays([pa.array([word_key(w) for w in words], pa.int64()), batch.column("c")], names=["word", "c"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.words import WordHashes, mix, shingles
+from sitewise.llm.words import WordHashes, mix, pieces, shingles
 
 BINS = 256
 BITS = 8
@@ -124,7 +124,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha25
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, held, own = WordHashes(), None, ""
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for doc, text, tail in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "tail"))):
             if tail and held is None:

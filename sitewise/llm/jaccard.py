@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.words import SHINGLE, WordHashes, mix, shingles, signed, texts_of
+from sitewise.llm.words import SHINGLE, WordHashes, mix, pieces, shingles, signed, texts_of
 from sitewise.operators.graph import component_labels
 from sitewise.storage import cut
 
@@ -31,7 +31,7 @@ SKETCH_BITS = 22  # counters of the frequency sketch: 4 MB in each task, whateve
 _PART = 1 << 16
 BITMAP = 512
 BLOCK_ROWS = 4096
-_SEEN = 1 << 20
+_SEEN = 1 << 18
 FILTER_BITS = 23
 
 
@@ -70,7 +70,7 @@ def _members(width: int):
         """A row for each document and, at the end, the counters of the partition."""
         hashes = WordHashes()
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
                 text = text.lower()
@@ -119,7 +119,7 @@ _ENTRY_DDL = "col long, block int, blocks int, pos int, n int, node long"
 def _entries(levels: Broadcast, width: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[list[np.ndarray]] = [[] for _ in _ENTRY]
             for text in texts_of(batch):
                 cols = shingles(hashes.of(text.lower().split()), width)
@@ -277,7 +277,7 @@ _TEXT = pa.schema([("body", pa.int64()), ("text", pa.binary())])
 def _bodies(wanted: Broadcast):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, mask = set(), (1 << FILTER_BITS) - 1
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for text in texts_of(batch):
                 text = text.lower()
@@ -295,7 +295,7 @@ def _bodies(wanted: Broadcast):
 def _overlaps(width: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept, last = WordHashes(), None, None
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
                 if a != last:

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.words import texts_of
+from sitewise.llm.words import pieces, texts_of
 from sitewise.storage import cut
 
 NEAR_WORDS = 5     # shorter lines are compared for equality only
@@ -75,7 +75,7 @@ class Twice:
 
 def _met_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = Twice()
-    for batch in batches:
+    for batch in pieces(batches):
         keys: list[int] = []
         for text in texts_of(batch):
             for line in text.split(b"\n"):
@@ -127,7 +127,7 @@ def _passing(twice: Broadcast):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines that may equal or be near another."""
         bits = twice.value
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for doc, sub, text in zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(), texts_of(batch)):
                 for number, line in enumerate(text.split(b"\n")):
@@ -143,7 +143,7 @@ def _passing(twice: Broadcast):
 def _bodies(wanted: Broadcast):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, set()
-        for batch in batches:
+        for batch in pieces(batches):
             out = {}
             for text in texts_of(batch):
                 for line in text.split(b"\n"):
@@ -183,7 +183,7 @@ def variants(words: list[bytes]) -> list[tuple[int, bool]]:
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for full, body, doc, sub, line in zip(*(batch.column(c).to_pylist() for c in ("full", "body", "doc", "sub", "line"))):
             out += [(key, shorter, full, doc, sub, line) for key, shorter in variants(body.split(b" "))]
@@ -195,7 +195,7 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         full = [f for f, a, b in zip(*(batch.column(c).to_pylist() for c in ("full", "body", "other_body")))
                 if one_edit(a.split(b" "), b.split(b" "))]
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64())], names=["full"])

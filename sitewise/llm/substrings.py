@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.words import mix, texts_of
+from sitewise.llm.words import mix, pieces, texts_of
 from sitewise.storage import cut
 
 LENGTH = 100
@@ -74,7 +74,7 @@ def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
 def _met_twice(length: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = (np.zeros(1 << FILTER_BITS >> 3, np.uint8) for _ in range(2))
-        for batch in batches:
+        for batch in pieces(batches):
             for text in texts_of(batch):
                 for anchor, _, _ in segments(text, length, gram):
                     slot, times = np.unique(anchor & np.uint64((1 << FILTER_BITS) - 1), return_counts=True)
@@ -118,7 +118,7 @@ _SEGMENT_DDL = "anchor long, body binary, doc long, sub long, start long"
 def _segments(twice: Broadcast, length: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = twice.value
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for doc, sub, text in zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(), texts_of(batch)):
                 for anchor, start, end in segments(text, length, gram):
@@ -277,7 +277,7 @@ def _shards(length: int, shard_bytes: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted segments. Repeats of a segment go whole; an anchor's different ones go to a shard."""
         shard, group, last, split, number = Shard(), Shard(), None, False, 0
-        for batch in batches:
+        for batch in pieces(batches):
             gone = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "body", "doc", "sub", "start"))):
                 if last is not None and row[0] == last[0] and row[1] == last[1]:
@@ -345,7 +345,7 @@ def repeated(read: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_byte
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         out = []
         for doc, text, spans in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("spans").to_pylist()):
             kept, at, removed, runs = [], 0, 0, 0

@@ -6,6 +6,8 @@ no other white space separates words. Hashes are 64-bit and the same in every pr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -59,6 +61,13 @@ def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(hashes, width))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches cut to few rows, so that a task holds little besides what Spark sends at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null is the empty text."""
     return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
