@@ -90,7 +90,8 @@ def beside_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = np.unique(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else [])
+    fine = 4 * n  # several buckets for each partition even out
+    bounds = np.unique(docs.approxQuantile("doc_id", [k / fine for k in range(1, fine)], 0.25 / fine))
 
     @F.pandas_udf("int")
     def bucket(ids: pd.Series) -> pd.Series:
