@@ -84,11 +84,11 @@ def top_missing_samples(samples: DataFrame, k: int = 25) -> DataFrame:
                     .alias("tone")))
 
 
-def sites_of_interest(samples: DataFrame, policy: str = COMPLETE, limit: int = 1000) -> DataFrame:
-    """Sites with missing data or variation, first ``limit`` by position (a report limit)."""
-    return (site_quality(samples, policy)
-            .where((F.col("missing_count") > 0) | F.col("variable"))
-            .orderBy("pos").limit(limit))
+def sites_of_interest(samples: DataFrame, policy: str = COMPLETE, limit: int | None = None) -> DataFrame:
+    """Sites with missing data or variation by position; ``limit`` shortens a report."""
+    found = (site_quality(samples, policy)
+             .where((F.col("missing_count") > 0) | F.col("variable")).orderBy("pos"))
+    return found if limit is None else found.limit(limit)
 
 
 def site_track(sites: DataFrame, length: Column, max_bins: int = 828) -> DataFrame:

@@ -421,10 +421,3 @@ def square_matrix(pairs: DataFrame, left: str, right: str, value: str, labels: D
     diagonal = labels.select(F.col(labels.columns[0]).alias("row"),
                              F.col(labels.columns[0]).alias("col"), F.lit(0.0).alias("value"))
     return upper.unionByName(lower).unionByName(diagonal)
-
-
-def wide_matrix(matrix: DataFrame, labels: list[str]) -> DataFrame:
-    """Pivoted matrix for display; at most 100 named columns."""
-    if len(labels) > 100:
-        raise ValueError("a wide matrix shows at most 100 labels; use the long form")
-    return matrix.groupBy("row").pivot("col", labels).agg(F.first("value"))
