@@ -162,8 +162,7 @@ def _bodies(wanted: Broadcast):
     return scan
 
 
-_VARIANT = pa.schema([("key", pa.int64()), ("shorter", pa.bool_()), ("full", pa.int64()), ("doc", pa.int64()),
-                      ("sub", pa.int64()), ("line", pa.int32())])
+_VARIANT = pa.schema([("key", pa.int64()), ("shorter", pa.bool_()), ("place", pa.int64())])
 
 
 def variants(words: list[bytes]) -> list[tuple[int, bool]]:
@@ -185,8 +184,8 @@ def variants(words: list[bytes]) -> list[tuple[int, bool]]:
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         out = []
-        for full, body, doc, sub, line in zip(*(batch.column(c).to_pylist() for c in ("full", "body", "doc", "sub", "line"))):
-            out += [(key, shorter, full, doc, sub, line) for key, shorter in variants(body.split(b" "))]
+        for place, body in zip(*(batch.column(c).to_pylist() for c in ("place", "body"))):
+            out += [(key, shorter, place) for key, shorter in variants(body.split(b" "))]
             if len(out) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _VARIANT)], schema=_VARIANT)
                 out = []
@@ -196,9 +195,9 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        full = [f for f, a, b in zip(*(batch.column(c).to_pylist() for c in ("full", "body", "other_body")))
-                if one_edit(a.split(b" "), b.split(b" "))]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64())], names=["full"])
+        place = [p for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("place", "body", "other_body")))
+                 if one_edit(a.split(b" "), b.split(b" "))]
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64())], names=["place"])
 
 
 def removed_lines(read: DataFrame) -> DataFrame:
@@ -216,23 +215,24 @@ def removed_lines(read: DataFrame) -> DataFrame:
     firsts = cut(lines.groupBy("full").agg(F.min(order).alias("at"), F.first("halves").alias("halves")), "line-firsts")
     halves = firsts.select("full", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("full").alias("low"), F.max("full").alias("high")).filter("low < high")
-    near = cut(halves.join(shared.select("half"), "half", "left_semi").select("full").distinct()
-               .join(firsts.select("full", "at.*"), "full"), "line-candidates")
+    near = (halves.join(shared.select("half"), "half", "left_semi").select("full").distinct()
+            .join(firsts.select("full", "at.*"), "full"))
+    # a sorted table's increasing ids stand for lines and their order in all that follows
+    near = cut(near.orderBy("doc", "sub", "line", "full").select("full", F.monotonically_increasing_id().alias("place")),
+               "line-candidates")
     wanted = spark.sparkContext.broadcast(_bit_map(near.select("full").mapInArrow(_slots, "once binary, twice binary"), "once"))
     bodies = cut(text.mapInArrow(_bodies(wanted), "full long, body binary").join(near, "full").dropDuplicates(["full"]),
                  "line-bodies")
-    emitted = cut(bodies.mapInArrow(_neighbourhoods, "key long, shorter boolean, full long, doc long, sub long, line int"),
-                  "line-variants")
-    at = F.struct("doc", "sub", "line", "full")
-    best = emitted.groupBy("key").agg(F.min(F.when(~F.col("shorter"), at)).alias("whole"),
-                                      F.min(F.when(F.col("shorter"), at)).alias("rest"), F.count(F.lit(1)).alias("n"))
-    met = emitted.join(best.filter("n > 1").drop("n"), "key").select("full", at.alias("own"), F.explode(F.when(
+    emitted = cut(bodies.mapInArrow(_neighbourhoods, "key long, shorter boolean, place long"), "line-variants")
+    best = emitted.groupBy("key").agg(F.min(F.when(~F.col("shorter"), F.col("place"))).alias("whole"),
+                                      F.min(F.when(F.col("shorter"), F.col("place"))).alias("rest"), F.count(F.lit(1)).alias("n"))
+    met = emitted.join(best.filter("n > 1").drop("n"), "key").select("place", F.explode(F.when(
         F.col("shorter"), F.array("whole")).otherwise(F.array("whole", "rest"))).alias("other"))
-    pairs = met.filter((F.col("other") < F.col("own")) & (F.col("other.full") != F.col("full"))).select(
-        "full", F.col("other.full").alias("other")).distinct()
-    checked = (pairs.join(bodies.select("full", "body"), "full")
-               .join(bodies.select(F.col("full").alias("other"), F.col("body").alias("other_body")), "other"))
-    gone = checked.select("full", "body", "other_body").mapInArrow(_verify, "full long").distinct()
+    pairs = met.filter("other < place").distinct()
+    checked = (pairs.join(bodies.select("place", "body"), "place")
+               .join(bodies.select(F.col("place").alias("other"), F.col("body").alias("other_body")), "other"))
+    gone = (checked.select("place", "body", "other_body").mapInArrow(_verify, "place long").distinct()
+            .join(near, "place").select("full"))
     verdict = firsts.select("full", F.col("at").alias("first")).join(gone.withColumn("gone", F.lit(True)), "full", "left")
     return (lines.join(verdict, "full").filter(F.col("gone").isNotNull() | (order != F.col("first")))
             .select("doc", "sub", "line"))
