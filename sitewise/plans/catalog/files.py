@@ -205,17 +205,17 @@ def overlapping_variants(spark, d):
     return vcf.overlapping_variants(v)
 
 
-@query("variable_runs", "WITH v AS (SELECT DISTINCT l_partkey AS pos FROM lineitem WHERE l_quantity > 45) SELECT min(pos) AS start, max(pos) + 1 AS stop FROM (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM v) GROUP BY g")
+@query("variable_runs", "WITH v AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS pos FROM lineitem) SELECT min(pos) AS start, max(pos) + 1 AS stop FROM (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM v) GROUP BY g")
 def variable_runs(spark, d):
-    return vcf.variable_runs(table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("pos")).distinct())
+    return vcf.variable_runs(table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos")).distinct())
 
 
-@query("merge_intervals", """WITH i AS (SELECT l_orderkey * 8 AS start, l_orderkey * 8 + cast(floor(l_quantity) AS bigint) AS stop FROM lineitem WHERE l_discount > 0.08),
+@query("merge_intervals", """WITH i AS (SELECT l_orderkey * 64 + l_linenumber * 8 AS start, l_orderkey * 64 + l_linenumber * 8 + cast(floor(l_quantity / 4) AS bigint) AS stop FROM lineitem),
  m AS (SELECT *, CASE WHEN max(stop) OVER (ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > start THEN 0 ELSE 1 END AS n FROM i)
  SELECT min(start) AS start, max(stop) AS stop FROM (SELECT *, sum(n) OVER (ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS g FROM m) GROUP BY g""")
 def merge_intervals(spark, d):
-    i = table(spark, d, "lineitem").where("l_discount > 0.08").select(
-        (F.col("l_orderkey") * 8).alias("start"), (F.col("l_orderkey") * 8 + F.floor("l_quantity")).cast("bigint").alias("stop"))
+    start = F.col("l_orderkey") * 64 + F.col("l_linenumber") * 8
+    i = table(spark, d, "lineitem").select(start.alias("start"), (start + F.floor(F.col("l_quantity") / 4)).cast("bigint").alias("stop"))
     return vcf.merge_intervals(i)
 
 

@@ -92,7 +92,8 @@ def reference_mismatches(variants: DataFrame, reference: str) -> DataFrame:
 def vcf_to_alignment(variants: DataFrame, genotypes: DataFrame, reference: str | None = None) -> DataFrame:
     """Aligned sequences: called alleles padded to equal width, and the reference in between.
 
-    Raises on overlapping records and on records that disagree with the reference.
+    Raises on overlapping records, on records that disagree with the reference and, when the
+    result is computed, on invalid genotypes.
     """
     if not overlapping_variants(variants).isEmpty():
         raise ValueError("overlapping variants cannot be turned into an alignment")
@@ -109,7 +110,9 @@ def vcf_to_alignment(variants: DataFrame, genotypes: DataFrame, reference: str |
         before = F.col("before")
         last = blocks.agg(F.max(F.col("pos") + F.col("span"))).scalar()
         tail = F.substring(F.lit(whole), F.col("__last").cast("int"), F.lit(len(whole)))
-    called = decode_genotypes(genotypes, variants).join(blocks, ["chrom", "pos"])
+    invalid = F.raise_error(F.concat(F.lit("invalid genotype of "), "sample", F.lit(" at "), F.col("pos").cast("string")))
+    called = (decode_genotypes(genotypes, variants).join(blocks, ["chrom", "pos"])
+              .withColumn("allele", F.when(F.col("allele").isNull(), invalid).otherwise(F.col("allele"))))
     piece = F.concat(before, F.rpad("allele", F.col("width"), F.lit("-")))
     out = called.groupBy("sample_idx", "sample").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))), lambda x: x["piece"]), "").alias("sequence"))

@@ -106,6 +106,15 @@ def test_variant_round_trip_and_errors(make, spark):
         vcf.alignment_to_variants(make([("a", "", "ACGT"), ("b", "", "ACGT")]))
 
 
+def test_invalid_genotype_and_short_row_raise(spark, put):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n"
+    variants, genotypes, _ = vcf.read_vcf(spark, put("w.vcf", head + "c\t2\t.\tA\tC\t.\t.\t.\tGT\t7\t0\n"))
+    with pytest.raises(Exception, match="invalid genotype of s1 at 2"):
+        vcf.vcf_to_alignment(variants, genotypes).collect()
+    with pytest.raises(Exception, match="row 1 has fewer columns"):
+        tb.read_six_column(spark, put("s.tsv", "a\tb\t2020\tx\ty\tz\nc\td\n")).collect()
+
+
 def test_metadata_quotes_and_ties(spark, put):
     path = put("m.csv", '# note\naccession,haplotype,sampling_locality,Country,value\nx1,h,"a, b","C, D",nan\nx2,h,z,*,7\n')
     got = {r["key"]: (r["discrete"], r["continuous"]) for r in tb.read_metadata(spark, path).collect()}
