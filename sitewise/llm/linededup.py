@@ -27,8 +27,8 @@ FILTER_BITS = 26   # slots of each filter: 8 MB in each task
 _MASK = (1 << FILTER_BITS) - 1
 
 
-def key_of(*parts: bytes | int) -> int:
-    return xxhash.xxh3_64_intdigest(b"\0".join(p if isinstance(p, bytes) else b"%d" % p for p in parts)) - (1 << 63)
+def key_of(body: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(body) - (1 << 63)
 
 
 def half_keys(words: list[bytes]) -> list[int]:
@@ -41,7 +41,8 @@ def half_keys(words: list[bytes]) -> list[int]:
     for m in (len(words), len(words) - 1):
         if m >= NEAR_WORDS:
             h = m // 2
-            out += [key_of(m, b"p", b" ".join(words[:h])), key_of(m, b"s", b" ".join(words[len(words) - (m - h):]))]
+            out += [key_of(b"%d\0p\0%b" % (m, b" ".join(words[:h]))),
+                    key_of(b"%d\0s\0%b" % (m, b" ".join(words[len(words) - (m - h):])))]
     return out
 
 
@@ -126,15 +127,18 @@ _LINE = pa.schema([("full", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()
 def _passing(twice: Broadcast):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines that may equal or be near another."""
-        bits = twice.value
+        bits = twice.value.tobytes()  # indexing bytes is faster than indexing an array
         for batch in pieces(batches):
             out = []
             for doc, sub, text in zip(batch.column("doc").to_pylist(), batch.column("sub").to_pylist(), texts_of(batch)):
                 for number, line in enumerate(text.split(b"\n")):
                     if words := line.split():
-                        keys = keys_of(words)
-                        if any(bits[(k & _MASK) >> 3] >> (k & 7) & 1 for k in keys):
-                            out.append((key_of(b" ".join(words)), doc, sub, number, half_keys(words)))
+                        halves = half_keys(words)
+                        full = None if halves else key_of(b" ".join(words))
+                        for k in halves or (full,):
+                            if bits[(k & _MASK) >> 3] >> (k & 7) & 1:
+                                out.append((key_of(b" ".join(words)) if full is None else full, doc, sub, number, halves))
+                                break
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _LINE)], schema=_LINE)
     return scan
@@ -142,7 +146,7 @@ def _passing(twice: Broadcast):
 
 def _bodies(wanted: Broadcast):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value, set()
+        bits, seen = wanted.value.tobytes(), set()
         for batch in pieces(batches):
             out = {}
             for text in texts_of(batch):
@@ -171,13 +175,15 @@ def variants(words: list[bytes]) -> list[tuple[int, bool]]:
     A rest together with its place meets lines that differ in that word. A rest alone meets the
     whole lines that lack the word.
     """
-    n, out = len(words), []
-    for k in range(n):
-        rest = b" ".join(words[:k] + words[k + 1:])
-        out.append((key_of(b"s", n, k, rest), False))
+    n, body, at, out = len(words), b" ".join(words), 0, []
+    for k, word in enumerate(words):
+        end = at + len(word) + 1
+        rest = body[:at] + body[end:] if end <= len(body) else body[:max(at - 1, 0)]
+        out.append((key_of(b"s\0%d\0%d\0%b" % (n, k, rest)), False))
         if n > NEAR_WORDS:
-            out.append((key_of(b"d", rest), True))
-    out.append((key_of(b"d", b" ".join(words)), False))
+            out.append((key_of(b"d\0" + rest), True))
+        at = end
+    out.append((key_of(b"d\0" + body), False))
     return out
 
 
@@ -247,8 +253,9 @@ def _without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         for text, numbers in zip(texts, gone):
             lines = (text or b"").split(b"\n")
             drop = set() if numbers is None else set(numbers.tolist())
-            left = [x for k, x in enumerate(lines) if k not in drop]
-            rows.append((b"\n".join(left), sum(bool(x.split()) for x in lines), len(drop), sum(bool(x.split()) for x in left)))
+            left = [x for k, x in enumerate(lines) if k not in drop] if drop else lines
+            n_lines = sum(map(bool, map(bytes.strip, lines)))
+            rows.append((b"\n".join(left), n_lines, len(drop), n_lines - len(drop)))
         yield pd.DataFrame(rows, columns=["kept", "n_lines", "n_removed", "n_left"])
 
 
