@@ -236,10 +236,13 @@ def permutation_statistics(samples: DataFrame, group: str, permutations: int, se
     base = grouped(samples, group)
     masked = base.withColumn("__runs", runs).withColumn(
         "signature", take_sites(F.col("sequence"), F.col("__runs"))).withColumn(
-        "fingerprint", F.xxhash64(F.sha2("signature", 256)))
-    members = cut(masked.select("sample_idx", "grp", "fingerprint"), "members")
-    firsts = members.groupBy("fingerprint").agg(F.min("sample_idx").alias("sample_idx"))
-    minor = cut(base.join(firsts, "sample_idx")
+        "signature", F.sha2("signature", 256))
+    keyed = cut(masked.select("sample_idx", "grp", "signature"), "signatures")
+    # the first sample of a haplotype stands for it: a short key that cannot collide
+    firsts = keyed.groupBy("signature").agg(F.min("sample_idx").alias("fingerprint"))
+    members = cut(keyed.join(firsts, "signature").select("sample_idx", "grp", "fingerprint"), "members")
+    units = members.where("sample_idx = fingerprint").select("sample_idx", "fingerprint")
+    minor = cut(base.join(units, "sample_idx")
                 .select("fingerprint", F.posexplode(F.split("sequence", "")).alias("p", "base"))
                 .withColumn("pos", (F.col("p") + 1).cast("bigint"))
                 .join(major, "pos").where("base <> major")

@@ -56,11 +56,7 @@ def record_issues(spark, d):
 @query("phylip_round_trip", _SEQ)
 def phylip_round_trip(spark, d):
     path = scratch_path(spark, "alignment") + ".phy"
-    # one text for the whole alignment: the format keeps its count in the first line
-    count, length = sq._facts(_plain(spark, d))
-    body = _plain(spark, d).select(F.lit(1).alias("part"), F.col("sample_idx").alias("ord"), F.concat_ws(" ", "sample", "sequence").alias("value"))
-    head = spark.createDataFrame([(0, 0, f" {count} {length}")], "part int, ord bigint, value string")
-    head.unionByName(body).orderBy("part", "ord").select("value").coalesce(1).write.text(path)
+    sq.write_phylip(_plain(spark, d), path)
     return sq.read_phylip(spark, path)
 
 
@@ -89,19 +85,62 @@ def phylip_wrapped(spark, d):
     return _blocked(spark, d, True)
 
 
-def _single(spark, folder):
-    """The part files of an ordered text sink joined into one file, for whole-file readers."""
-    path = scratch_path(spark, "single")
-    from sitewise.sources.lines import ordered_text
-    ordered_text(spark, folder).orderBy("row").select("value").coalesce(1).write.text(path)
+# one file per nation; nations with an odd number of letters declare one record or site too many
+def _broken(spark, d, head, foot):
+    s = samples(spark, d).select("sample_idx", "nation", F.concat_ws(" ", "sample", "sequence").alias("value"))
+    odd = F.length("nation") % 2
+    ends = s.groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
+    lines = ends.select("nation", F.lit(-1).cast("bigint").alias("sample_idx"), head(F.col("n"), odd).alias("value")).unionByName(
+        s).unionByName(ends.select("nation", F.lit(1 << 60).alias("sample_idx"), F.lit(foot).alias("value")))
+    path = scratch_path(spark, "broken")
+    lines.repartition("nation").sortWithinPartitions("nation", "sample_idx").select("nation", "value").write.partitionBy("nation").text(path)
     return path
 
 
+def _nation(issues):
+    return issues.select(F.url_decode(F.regexp_extract("file", "nation=([^/]+)", 1)).alias("nation"), "rule")
+
+
+@query("phylip_issues", "WITH {samples} SELECT DISTINCT nation, 'record_count' AS rule FROM samples WHERE length(nation) % 2 = 1")
+def phylip_issues(spark, d):
+    path = _broken(spark, d, lambda n, odd: F.concat_ws(" ", (n + odd).cast("string"), F.lit("64")), "")
+    return _nation(sq.phylip_issues(spark, path))
+
+
+@query("nexus_issues", "WITH {samples} SELECT DISTINCT nation, 'sequence_length' AS rule FROM samples WHERE length(nation) % 2 = 1")
+def nexus_issues(spark, d):
+    path = _broken(spark, d, lambda n, odd: F.concat(F.lit("#NEXUS\nBEGIN DATA;\nDIMENSIONS NTAX="), n.cast("string"), F.lit(" NCHAR="),
+                                                     (odd + 64).cast("string"), F.lit(";\nMATRIX [one [nested] note; 'x]")), ";\nEND;")
+    return _nation(sq.nexus_issues(spark, path))
+
+
 @query("nexus_round_trip", _SEQ)
 def nexus_round_trip(spark, d):
     path = scratch_path(spark, "alignment") + ".nex"
     sq.write_nexus(_plain(spark, d), path)
-    return sq.read_nexus(spark, _single(spark, path))
+    return sq.read_nexus(spark, path)
+
+
+def _converted(spark, d, fmt, ending, write=sq.write_fasta, source=".fasta"):
+    base = scratch_path(spark, "convert")
+    write(_plain(spark, d), base + source)
+    cv.convert(spark, base + source, base + ending, fmt)
+    return cv.read_sequences(spark, base + ending)
+
+
+@query("convert_fasta_to_phylip", _SEQ)
+def convert_fasta_to_phylip(spark, d):
+    return _converted(spark, d, "phylip", ".phy")
+
+
+@query("convert_fasta_to_nexus", _SEQ)
+def convert_fasta_to_nexus(spark, d):
+    return _converted(spark, d, "nexus", ".nex")
+
+
+@query("convert_nexus_to_fasta", _SEQ)
+def convert_nexus_to_fasta(spark, d):
+    return _converted(spark, d, "fasta", ".fasta", sq.write_nexus, ".nex")
 
 
 @query("expand_matchchar", _SEQ)
@@ -150,7 +189,7 @@ def _vcf_file(spark, d):
 @query("vcf_scan", "WITH {cells}, " + K4 + " SELECT 'alignment' AS chrom, pos, ref, alts, info, sample, gt::VARCHAR AS field FROM ga JOIN ix USING (s, a) JOIN vv USING (s, ref)")
 def vcf_scan(spark, d):
     variants, genotypes, _ = vcf.read_vcf(spark, _vcf_file(spark, d))
-    return genotypes.join(variants, ["chrom", "pos"]).select(
+    return genotypes.join(variants.drop("chrom", "pos"), "record").select(
         "chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"), "info", "sample", "field")
 
 

@@ -16,7 +16,7 @@ META_KEY = "##SampleMetadata="
 def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(variants, genotypes, violations)`` of VCF text (gzip is read as well).
 
-    Rows that break a rule are listed in ``violations(code, ref)`` and kept out of the variants.
+    ``record`` ties genotypes to their variant, as a position may have several records. Rows that break a rule are listed in ``violations(code, ref)`` and kept out of the variants.
     """
     lines = ordered_text(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
     header = lines.where(F.col("value").startswith("#CHROM"))
@@ -43,9 +43,10 @@ def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
                   .unionByName(doubled.select(F.lit("duplicate_sample").alias("code"), F.col("s").alias("ref")))
                   .unionByName(contigs.select(F.lit("several_contigs").alias("code"), F.col("n").cast("string").alias("ref"))))
     samples_in = F.arrays_zip(F.slice("__h", F.lit(10), F.size("__h")).alias("sample"), F.slice("c", F.lit(10), F.size("__h")).alias("field"))
-    genotypes = variants.select("chrom", "pos", F.posexplode(samples_in).alias("sample_idx", "z")).select(
-        "chrom", "pos", F.col("sample_idx").cast("bigint").alias("sample_idx"), "z.sample", "z.field")
-    return variants.drop("c", "__h", "code", "row"), genotypes, violations
+    record = F.col("row").alias("record")
+    genotypes = variants.select(record, "chrom", "pos", F.posexplode(samples_in).alias("sample_idx", "z")).select(
+        "record", "chrom", "pos", F.col("sample_idx").cast("bigint").alias("sample_idx"), "z.sample", "z.field")
+    return variants.withColumnRenamed("row", "record").drop("c", "__h", "code"), genotypes, violations
 
 
 def genotype_allele(field: Column, format_keys: Column, ref: Column, alts: Column) -> Column:
@@ -72,7 +73,9 @@ def genotype_allele(field: Column, format_keys: Column, ref: Column, alts: Colum
 
 
 def decode_genotypes(genotypes: DataFrame, variants: DataFrame) -> DataFrame:
-    joined = genotypes.join(variants.select("chrom", "pos", "ref", "alts", "format"), ["chrom", "pos"])
+    """``genotypes`` with ``allele``; records are told apart by ``record`` where both tables have it."""
+    key = ["record"] if "record" in genotypes.columns and "record" in variants.columns else ["chrom", "pos"]
+    joined = genotypes.join(variants.select(*key, "ref", "alts", "format"), key)
     return joined.withColumn("allele", genotype_allele(F.col("field"), F.col("format"), F.col("ref"), F.col("alts")))
 
 
@@ -232,9 +235,13 @@ def write_vcf(variants: DataFrame, genotypes: DataFrame, path: str, reference_le
     columns = "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".replace(" ", "\t")
     title = names.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "sample"))), lambda x: x["sample"]).alias("s")).select(
         F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("ord"), F.concat(F.lit(columns + "\t"), F.array_join("s", "\t")).alias("value"))
-    fields = genotypes.groupBy("chrom", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "field"))), lambda x: x["field"]).alias("g"))
-    rows = variants.join(fields, ["chrom", "pos"]).select(F.lit(3).alias("part"), F.col("pos").alias("ord"), F.concat_ws(
-        "\t", "chrom", F.col("pos").cast("string"), F.lit("."), "ref", F.array_join("alts", ","), F.lit("."), F.lit("PASS"), "info",
+    key = ["record"] if "record" in genotypes.columns and "record" in variants.columns else ["chrom", "pos"]
+    fields = genotypes.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "field"))), lambda x: x["field"]).alias("g"))
+    def kept(column: str, default: str) -> Column:
+        return F.coalesce(column, F.lit(default)) if column in variants.columns else F.lit(default)
+    # records that were read keep their order
+    rows = variants.join(fields, key).select(F.lit(3).alias("part"), F.col(key[-1]).alias("ord"), F.concat_ws(
+        "\t", "chrom", F.col("pos").cast("string"), kept("id", "."), "ref", F.array_join("alts", ","), kept("qual", "."), kept("filter", "PASS"), "info",
         F.array_join("format", ":"), F.array_join("g", "\t")).alias("value"))
     out = head.unionByName(contig).unionByName(title).unionByName(rows)
     if metadata is not None:

@@ -52,14 +52,44 @@ def test_phylip_styles(spark, put):
         "strict": "2 8\na         ACGTACGT\nb         ACGAACGA\n"}.items():
         assert records(sq.read_phylip(spark, put(name + ".phy", text))) == want, name
     bad = put("bad.phy", "3 8\na ACGTACGT\nb ACGAACGA\n")
-    assert sq.phylip_issues(spark, bad).count() == 1 and sq.read_phylip(spark, bad).count() == 0
+    good = put("good.phy", "1 4\nc ACGT\n")
+    with pytest.raises(ValueError, match="bad.phy: record_count"):
+        sq.read_phylip(spark, [bad, good])
+    sound, issues = sq.read_phylip(spark, [bad, good], on_error="report")
+    assert records(sound) == [("c", "ACGT")] and [r["rule"] for r in issues.collect()] == ["record_count"]
+    for name, text, rule in (("h", "no header\na ACGT\n", "no_header"), ("l", "1 5\na ACGT\n", "sequence_length"),
+                             ("s", "2 4\na ACGT\nb AC\n", "sequence_length"),
+                             ("d", "2 4\na ACGT\na ACGG\n", "duplicate_name"), ("e", "2 4\n", "record_count")):
+        assert [r["rule"] for r in sq.phylip_issues(spark, put(name + ".phy", text)).collect()] == [rule], name
+
+
+@pytest.mark.parametrize("write, read, ending", [(sq.write_phylip, sq.read_phylip, "phy"), (sq.write_nexus, sq.read_nexus, "nex")])
+def test_parts_of_a_sink_are_one_file(make, spark, write, read, ending):
+    rows = [(f"s{i}", "", "ACGTACGT") for i in range(3000)]
+    path = f"{scratch_path(spark, 'parts')}.{ending}"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write(make(rows), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spark.read.text(path).inputFiles()) >= 4
+    assert records(read(spark, path)) == [(s, q) for s, _, q in rows]
 
 
 def test_nexus_styles(spark, put):
     head = "#NEXUS\nBEGIN DATA;\nDIMENSIONS NTAX=2 NCHAR=8;\nFORMAT DATATYPE=DNA MATCHCHAR=.;\nMATRIX\n"
     text = head + "'it''s a' ACGT [c [nested] x]\nb ...A\n\nACGT\n...A\n;\nEND;\n"
     assert records(sq.read_nexus(spark, put("i.nex", text))) == [("it's a", "ACGTACGT"), ("b", "ACGAACGA")]
-    assert sq.read_nexus(spark, put("t.nex", "#NEXUS\nBEGIN TREES;\nEND;\n")).count() == 0
+    deep = head + "[" * 12 + "it's; deep" + "]" * 12 + "'a;[b' ACGTACGT\nb ........\n;\nEND;\n"
+    assert records(sq.read_nexus(spark, put("d.nex", deep))) == [("a;[b", "ACGTACGT"), ("b", "ACGTACGT")]
+    three = head.replace("NTAX=2", "ntax = 3") + "a ACGTACGT\nb ACGTACGT\n;\nEND;\n"
+    for name, broken, rule in (("t", "#NEXUS\nBEGIN TREES;\nEND;\n", "no_matrix"), ("n", "BEGIN DATA;\nEND;\n", "not_nexus"),
+                               ("c", head + "a ACGTACGT [open\n;\nEND;\n", "open_comment"), ("k", three, "taxon_count"),
+                               ("l", head + "a ACGTACG\nb ACGTACG\n;\nEND;\n", "sequence_length")):
+        path = put(name + ".nex", broken)
+        assert [r["rule"] for r in sq.nexus_issues(spark, path).collect()] == [rule], name
+        with pytest.raises(ValueError, match=f"{name}.nex: {rule}"):
+            sq.read_nexus(spark, path)
 
 
 def test_nexus_sink_rejects_mixed(make, spark):
@@ -106,6 +136,17 @@ def test_variant_round_trip_and_errors(make, spark):
         vcf.alignment_to_variants(make([("a", "", "ACGT"), ("b", "", "ACGT")]))
 
 
+def test_records_of_one_position_stay_apart(spark, put):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n"
+    body = "c\t2\tr1\tA\tC\t7\tq\tX=1\tGT\t1\t0\nc\t2\tr2\tA\tG\t.\tPASS\t.\tGT\t0\t1\n"
+    variants, genotypes, _ = vcf.read_vcf(spark, put("p.vcf", head + body))
+    got = vcf.decode_genotypes(genotypes, variants).orderBy("record", "sample_idx").collect()
+    assert [r["allele"] for r in got] == ["C", "A", "A", "G"]
+    path = scratch_path(spark, "records") + ".vcf"
+    vcf.write_vcf(variants, genotypes, path)
+    assert [r[0] for r in spark.read.text(path).where("value LIKE 'c%'").orderBy("value").collect()] == body.splitlines()
+
+
 def test_invalid_genotype_and_short_row_raise(spark, put):
     head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n"
     variants, genotypes, _ = vcf.read_vcf(spark, put("w.vcf", head + "c\t2\t.\tA\tC\t.\t.\t.\tGT\t7\t0\n"))
