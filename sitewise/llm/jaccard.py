@@ -19,12 +19,12 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.words import SHINGLE, WordHashes, mix, pieces, shingles, signed, texts_of
 from sitewise.operators.graph import component_labels
-from sitewise.storage import cut
+from sitewise.storage import cut, cut_counted
 
 PERCENT = 80
 SKETCH_BITS = 22  # counters of the frequency sketch: 4 MB in each task, whatever the input
@@ -43,6 +43,11 @@ def node_of(cols: np.ndarray) -> int:
     return int(mix(np.array([key.sum(dtype=np.uint64)], np.uint64))[0] >> np.uint64(1))
 
 
+def text_key(docs: DataFrame) -> Column:
+    """Hash of a text as it stands, which a scan can repeat without Python."""
+    return F.xxhash64(docs["text"])
+
+
 def body_of(text: bytes) -> int:
     """Key of a lower-cased text, far cheaper than its set."""
     return xxhash.xxh3_64_intdigest(text) >> 1
@@ -61,8 +66,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 _MEMBER = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()),
-                     ("body", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
-_MEMBER_DDL = "doc_id long, node long, n long, bits binary, body long, part int, counts binary"
+                     ("body", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
+_MEMBER_DDL = "doc_id long, node long, n long, bits binary, body long, key long, part int, counts binary"
 
 
 def _members(width: int):
@@ -72,11 +77,11 @@ def _members(width: int):
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in pieces(batches):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
+            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key")), texts_of(batch)):
                 text = text.lower()
                 cols = shingles(hashes.of(text.split()), width)
                 rows.append((doc, node_of(cols), len(cols), bitmap_of(cols) if len(cols) else None, body_of(text),
-                             None, None))
+                             key, None, None))
                 counts[cols >> np.uint64(64 - SKETCH_BITS)] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MEMBER)], schema=_MEMBER)
@@ -84,7 +89,7 @@ def _members(width: int):
             if counts[part:part + _PART].any():
                 packed = zlib.compress(counts[part:part + _PART].tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
-                    (None, None, None, None, None, part // _PART, packed), _MEMBER)], schema=_MEMBER)
+                    (None, None, None, None, None, None, part // _PART, packed), _MEMBER)], schema=_MEMBER)
     return scan
 
 
@@ -325,12 +330,12 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int,
 
 
 def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``members`` (doc_id, node, n) of all rows of ``docs``, and ``labels`` (node, label) of the
-    nodes that have a link; nodes of one component have one label."""
+    """``members`` (doc_id, key, node, n) of all rows of ``docs``, ``key`` being a hash of the text,
+    and ``labels`` (node, label) of the nodes that have a link; nodes of one component have one label."""
     spark = docs.sparkSession
     read = docs.select("doc_id", "text")
-    scanned = cut(read.mapInArrow(_members(width), _MEMBER_DDL), "jaccard-members")
-    members = scanned.filter("part is null").select("doc_id", "node", "n", "bits", "body")
+    scanned = cut(read.withColumn("key", text_key(read)).mapInArrow(_members(width), _MEMBER_DDL), "jaccard-members")
+    members = scanned.filter("part is null").select("doc_id", "node", "n", "bits", "body", "key")
     levels = spark.sparkContext.broadcast(frequency_levels(scanned.filter("part is not null").select("part", "counts")))
     entries = read.select("text").mapInArrow(_entries(levels, width, percent), _ENTRY_DDL)
     found = cut(_runs(entries, percent), "jaccard-columns")
@@ -358,7 +363,7 @@ def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT)
     pairs = cut(pairs.join(stars, ["a", "b"], "left_anti"), "jaccard-pairs")
     more = _verified(docs, members, pairs, width, percent)
     every = links.unionAll(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return members.select("doc_id", "node", "n"), component_labels(every)
+    return members.select("doc_id", "key", "node", "n"), component_labels(every)
 
 
 def components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -378,14 +383,29 @@ def components(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def keep_first(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with all its columns.
+    """One row of each component, with all its columns; rows without shingles all stay.
 
-    Documents without shingles stay, and so do rows with a null id unless a document with an id
-    is reachable. Rows that repeat an id are one document: they stay or go together.
+    The row with the smallest doc_id stays, null ids last; of rows that share this id (or have
+    none) the one with the smallest hash of its text. Ids are not looked at otherwise: an id that
+    occurs with texts of several components keeps a row in each where it is the smallest. Rows
+    equal in id and text count once, and any one of them stays.
     """
     members, labels = similar_sets(docs, width, percent)
-    placed = members.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
-    lowest = placed.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("lowest"))
-    drop = (placed.filter("n > 0").join(lowest, "comp").filter("lowest is not null and (doc_id is null or doc_id > lowest)")
-            .select(F.col("doc_id").alias("__doc")).distinct())
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["__doc"]), "left_anti")
+    placed = members.filter("n > 0").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+    rows = cut(placed.groupBy("comp", "doc_id", "key").agg(F.count(F.lit(1)).alias("copies")), "jaccard-rows")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    judged = rows.join(first, "comp").select(
+        F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "copies",
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))).alias("stays"))
+    drop = cut(judged.filter("not stays or copies > 1"), "jaccard-drop")
+    again, (repeated, _) = cut_counted(drop.filter("stays").select("__doc", "__key"), "jaccard-again")
+
+    def same(other: DataFrame):
+        return docs["doc_id"].eqNullSafe(other["__doc"]) & (text_key(docs) == other["__key"])
+
+    kept = docs.join(drop, same(drop), "left_anti")
+    if not repeated:
+        return kept
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    one = docs.join(again, same(again), "inner").groupBy("__doc", "__key").agg(F.first(F.struct(*names)).alias("row"))
+    return kept.unionByName(one.select("row.*"))

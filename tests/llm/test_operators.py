@@ -294,6 +294,33 @@ def test_jaccard_with_null_and_repeated_ids(docs):
     assert {r.component_id for r in got if r.doc_id in (None, 5, 6)} == {5}
 
 
+def test_keep_first_decides_by_row(docs, spark):
+    rng = np.random.default_rng(11)
+    base = [[f"{c}{k}" for k in range(60)] for c in "pqr"]
+    table = [(None, None), (None, ""), (7, ""), (7, None), (None, "clean text that is like no other one"),
+             (3, "another clean text that is like no other"), (3, " ".join(base[0])), (2, " ".join(base[0])),
+             (None, " ".join(base[0])), (None, " ".join(base[1])), (None, " ".join(base[1])),
+             (None, " ".join([*base[1][:-1], "x"])), (8, " ".join(base[2])), (8, " ".join(base[2])), (8, " ".join(base[2]).upper())]
+    for _ in range(40):
+        own = list(base[rng.integers(0, 2)])
+        own[rng.integers(0, 60)] = f"u{rng.integers(0, 9)}"
+        table.append(([None, 3, 9, 12][rng.integers(0, 4)], " ".join(own)))
+    low = {k: c for k, (_, c) in brute_components([(k, t) for k, (_, t) in enumerate(table)]).items()}
+    frame = spark.createDataFrame([(*r, "clash") for r in table], "doc_id bigint, text string, key string").repartition(3)
+    kept = jaccard.keep_first(frame)
+    assert kept.columns == frame.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    empty = Counter(r for r in table if not words(r[1]))
+    assert {r: got[r] for r in empty} == empty
+    left = [r for r in got.elements() if r not in empty]
+    assert len(left) == len({low[k] for k, r in enumerate(table) if r not in empty})
+    for doc, text in left:
+        ids = [table[k][0] for k in low if low[k] == low[table.index((doc, text))]]
+        assert doc == min((d for d in ids if d is not None), default=None)
+    assert (None, table[4][1]) in got and (3, table[5][1]) in got
+    assert Counter(r.doc_id for r in jaccard.keep_first(docs).collect())[None] == 0
+
+
 def test_mixing(docs, none, spark):
     plan = {r.doc_id: r for r in mixing.plan_mix(docs).collect()}
     assert all(0 <= r.copies <= 3 for r in plan.values())
