@@ -24,8 +24,11 @@ BOILERPLATE = (
 )
 MIN_WORDS, MAX_REPEATED = 50, 50
 FRAGMENT_WORDS, MIN_LETTERS, MIN_KEPT = 4, 0.5, 0.5
+FURNITURE_PART = 6  # phrases of page furniture make up one word of so many at least
 
-_BOILERPLATE = re.compile("|".join(re.escape(p) for p in BOILERPLATE).encode(), re.IGNORECASE)
+_ANY = "|".join(re.escape(p) for p in BOILERPLATE)
+_BOILERPLATE = re.compile(_ANY.encode(), re.IGNORECASE)
+_PHRASE = re.compile(rf"(?<![^\W\d_])(?:{_ANY})(?![^\W\d_])", re.IGNORECASE)
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SPACE = b" \t\n\r\x0b\x0c"
 _ASCII_OTHER = bytes(c for c in range(128) if not chr(c).isalpha())
@@ -34,17 +37,26 @@ FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
           "kept boolean, n_lines long, n_bad_lines long, n_kept_words long, cleaned binary")
 
 
+def furniture_words(line: bytes) -> int:
+    """Words in phrases of page furniture that have no letter right before or after them."""
+    if not _BOILERPLATE.search(line):
+        return 0
+    return sum(len(p.split()) for p in _PHRASE.findall(line.decode("utf-8", "replace")))
+
+
 def line_verdict(line: bytes, words: list[bytes]) -> str:
     """Rule that a line with words breaks, or ''.
 
     navigation: three or more separators with four words or fewer between them on average;
-    boilerplate: a phrase of page furniture; symbols: under half of the characters are letters;
+    boilerplate: a sixth of the words or more are in phrases of page furniture; symbols: under half
+    of the characters are letters;
     punctuation: four words or fewer without an end mark.
     """
     seps = sum(line.count(s) for s in SEPARATORS)
     if seps >= 3 and len(words) <= 5 * (seps + 1):
         return "navigation"
-    if _BOILERPLATE.search(line):
+    found = furniture_words(line)
+    if found and FURNITURE_PART * found >= len(words):
         return "boilerplate"
     packed = line.translate(None, _SPACE + _CONTINUATION)
     if len(packed.translate(None, _ASCII_OTHER)) < MIN_LETTERS * len(packed):

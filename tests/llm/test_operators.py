@@ -75,6 +75,24 @@ def test_line_verdicts():
     assert verdict("Eine ganz gewöhnliche Zeile, die mit einem Punkt endet.") == ""
 
 
+def test_prose_with_phrases_of_furniture():
+    verdict = lambda s: quality.line_verdict(s.encode(), s.encode().split())
+    for part in ("a new design in oak", "the teams assign in turn", "our blog in French", "a catalog in print", "dialog in verse",
+                 "they spread more news", "we design into it", "un désign in blu", "sign inè"):
+        assert verdict(f"This is {part}.") == "", part
+    prose = "The visitors walked along the river and spoke about the weather of the last weeks before they read the letters"
+    for part in ("", "terms of use", "privacy policy", "log in", "click here"):
+        assert verdict(f"{prose} and the {part} of it.") == "", part
+    text = " ".join(f"{prose} number{k} here{k} and{k} there{k} now{k}." for k in range(9)).replace("number3", "terms of use")
+    # one long line: windows of three words repeat, so only the lines are judged here
+    assert quality.judge(text.encode(), WordHashes())[8:10] == (0, len(text.split()))
+    clean = " ".join(f"word{k} other{k}" for k in range(60)) + " terms of use and a design in oak."
+    assert quality.judge(clean.encode(), WordHashes())[6]
+    for line in ("\u00bbRead more\u00ab", "Sign in/Log in", "All rights reserved. Terms of use, privacy policy.", "1Click here2 now.",
+                 "This work is licensed under the GNU General Public License, version 3.", "read more " * 40, "Tous droits réservés, 2020."):
+        assert verdict(line) == "boilerplate", line
+
+
 def test_packing_holds_constraints(docs, none):
     got = packing.pack(docs, capacity=50, per_source=2, shard_items=8).collect()
     total = sum(len(words(r[1])) for r in rows())
