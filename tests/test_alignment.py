@@ -189,6 +189,24 @@ def test_pcoa_matches_dense_solution(make):
     assert an.sample_distances(out["pairs"], out["members"]).count() == 15
 
 
+def test_pcoa_has_one_definition_at_every_size(spark):
+    rng = np.random.default_rng(4)
+    d = np.triu(rng.random((30, 30)), 1)
+    full = d + d.T
+    pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(30) for j in range(i + 1, 30)], "i long, j long, distance double")
+    rows = spark.createDataFrame([(i, 1) for i in range(30)], "idx long, n long")
+    centre = np.eye(30) - 1 / 30
+    values = np.linalg.eigvalsh(-0.5 * centre @ full ** 2 @ centre)
+    positive, negative = values[values > 0].sum(), -values[values < 0].sum()
+    got = od.pcoa(pairs, rows, max_exact=0, block=16)[1].orderBy("axis").collect()
+    assert [r["eigenvalue"] for r in got] == pytest.approx(sorted(values)[:-3:-1], rel=1e-9)
+    assert [r["explained_ratio"] for r in got] == pytest.approx([v / positive for v in sorted(values)[:-3:-1]], rel=1e-8)
+    assert got[0]["negative_ratio"] == pytest.approx(negative / (positive + negative), rel=1e-8)
+    assert all(r["converged"] and r["residual"] <= 1e-6 * got[0]["eigenvalue"] for r in got)
+    few = od.pcoa(pairs, rows, rounds=2)[1].collect()
+    assert few and not any(r["converged"] for r in few)
+
+
 def test_no_ordination_with_missing_distance(make):
     rows = make([("a", "x", "ACGT"), ("b", "x", "NNNN"), ("c", "x", "ACGA")])
     frame = ds.distinct_sequences(rows)
