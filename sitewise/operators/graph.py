@@ -1,4 +1,4 @@
-"""Iterative graph jobs: components, spanning forests, shortest paths, cut structure.
+"""Iterative graph jobs: components, spanning forests, shortest paths.
 
 Every round is a handful of joins and aggregates over edge tables whose result is written to
 the shared folder, so lineage stays short and a lost executor costs one round at most. No
@@ -102,67 +102,3 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
         known = cut(total.observe(seen, F.count_if("fresh").alias("n")), "paths")
         if seen.get["n"] == 0:
             return known.drop("fresh")
-
-
-def breadth_first_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Breadth-first tree of every component from its smallest node: ``node, parent, depth``."""
-    both = cut(_mirrored(edges.select(F.col("source").alias("u"), F.col("target").alias("v")), []), "both")
-    labels = component_labels(both)
-    roots = (nodes.select(F.col("node_id").alias("node")).join(labels, "node", "left")
-             .where("label IS NULL OR label = node")
-             .select("node", F.lit(None).cast("bigint").alias("parent"), F.lit(0).alias("depth")))
-    tree = cut(roots, "tree")
-    depth = 0
-    while True:
-        step = (tree.where(F.col("depth") == depth).join(both, F.col("node") == both["u"])
-                .select(F.col("v").alias("node"), F.col("u").alias("parent"))
-                .join(tree.select("node"), "node", "left_anti")
-                .groupBy("node").agg(F.min("parent").alias("parent"))
-                .withColumn("depth", F.lit(depth + 1)))
-        step, (size, _) = cut_counted(step, "tree-step")
-        if size == 0:
-            return tree
-        tree = tree.unionByName(step)
-        depth += 1
-
-
-def cover_links(tree: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Climb both ends of every non-tree edge to their meeting node.
-
-    Returns the tree edges on those paths (named by their lower node) and links between tree
-    edges that lie on one cycle.
-    """
-    up = cut(tree.select("node", "parent", "depth"), "tree")
-    is_tree = up.where("parent IS NOT NULL").select(
-        F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
-    rest = (edges.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
-            .join(is_tree, ["a", "b"], "left_anti"))
-    # la / lb: the tree edge through which each end arrived at its present node
-    active, (size, _) = cut_counted(rest.select("a", "b", F.lit(None).cast("bigint").alias("la"),
-                                                F.lit(None).cast("bigint").alias("lb")), "climb")
-    links: DataFrame | None = None
-    covered: DataFrame | None = None
-    def add(total: DataFrame | None, part: DataFrame) -> DataFrame:
-        return part if total is None else total.unionByName(part)
-    while size:
-        ends = (active
-                .join(up.select(F.col("node").alias("a"), F.col("parent").alias("pa"), F.col("depth").alias("da")), "a")
-                .join(up.select(F.col("node").alias("b"), F.col("parent").alias("pb"), F.col("depth").alias("db")), "b"))
-        move_a, move_b = F.col("da") >= F.col("db"), F.col("db") >= F.col("da")
-        moved = cut(ends.select(
-            F.when(move_a, F.col("pa")).otherwise(F.col("a")).alias("a2"),
-            F.when(move_b, F.col("pb")).otherwise(F.col("b")).alias("b2"),
-            F.when(move_a, F.col("a")).otherwise(F.col("la")).alias("la2"),
-            F.when(move_b, F.col("b")).otherwise(F.col("lb")).alias("lb2"),
-            F.when(move_a, F.col("a")).alias("ca"), F.when(move_b, F.col("b")).alias("cb"),
-            F.when(move_a, F.col("la")).alias("pla"), F.when(move_b, F.col("lb")).alias("plb")), "climb-step")
-        covered = add(covered, moved.select(F.explode(F.array_compact(F.array("ca", "cb"))).alias("node")))
-        links = add(links, moved.where("ca IS NOT NULL AND pla IS NOT NULL").select(F.col("ca").alias("u"), F.col("pla").alias("v")))
-        links = add(links, moved.where("cb IS NOT NULL AND plb IS NOT NULL").select(F.col("cb").alias("u"), F.col("plb").alias("v")))
-        links = add(links, moved.where("a2 = b2").select(F.col("la2").alias("u"), F.col("lb2").alias("v")))
-        active, (size, _) = cut_counted(moved.where("a2 <> b2").select(
-            F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("la2").alias("la"),
-            F.col("lb2").alias("lb")).distinct(), "climb")
-    empty = up.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-    return (cut(covered.distinct(), "covered") if covered is not None else empty.select(F.col("u").alias("node")),
-            cut(links.distinct(), "links") if links is not None else empty)

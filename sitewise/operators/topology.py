@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.operators.graph import (
-    breadth_first_forest, component_labels, cover_links, shortest_paths)
-from sitewise.storage import cut, cut_counted, dense_index
+from sitewise.operators.blocks import Structure, distance_sums, pair_counts
+from sitewise.operators.graph import component_labels
+from sitewise.storage import cut, dense_index
 
 
 def _ends(edges: DataFrame) -> DataFrame:
@@ -95,86 +95,35 @@ def node_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             .withColumn("distance_sum", F.coalesce("distance_sum", F.lit(0.0))))
 
 
-def closeness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """r/sum(d) * r/(N-1) with r the number of reachable other nodes; 0 when isolated."""
-    total = nodes.agg(F.count(F.lit(1))).scalar()
-    per = paths.groupBy(F.col("src").alias("node_id")).agg(
-        (F.count(F.lit(1)) - 1).cast("double").alias("r"), F.sum("dist").alias("d")).withColumn("n", total)
+def closeness(nodes: DataFrame, structure: Structure, scores: DataFrame) -> DataFrame:
+    """r/sum(d) * r/(N-1) with r the number of reachable other nodes; 0 when isolated.
+
+    Sums come from the blocks of the network (``blocks.distance_sums``): linear rows, no pairs.
+    """
+    per = distance_sums(structure, scores).select(
+        F.col("node").alias("node_id"), F.col("reached").cast("double").alias("r"), F.col("total").alias("d"))
+    n = nodes.agg(F.count(F.lit(1))).scalar()
     ok = (F.col("n") > 1) & (F.col("r") > 0) & (F.col("d") > 0)
-    return per.select("node_id", F.when(ok, F.col("r") / F.col("d") * F.col("r") / (F.col("n") - 1))
-                      .otherwise(0.0).alias("closeness"))
+    return (nodes.select("node_id").join(per, "node_id", "left").withColumn("n", n)
+            .select("node_id", F.when(ok, F.col("r") / F.col("d") * F.col("r") / (F.col("n") - 1)).otherwise(0.0).alias("closeness")))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+def betweenness(nodes: DataFrame, edges: DataFrame, structure: Structure, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Weighted node and edge betweenness, normalised for a simple undirected graph.
 
-    Shortest-path counts grow forward one hop per round over all sources at once; dependencies
-    flow back the same way. Both sums are linear, so a round only carries what the last one added.
+    Bridges, trees and cut vertices count in closed form, other paths inside their block.
     """
-    arcs = _arcs(edges)
-    a = paths.select("src", F.col("node").alias("u"), F.col("dist").alias("du"))
-    b = paths.select("src", F.col("node").alias("v"), F.col("dist").alias("dv"))
-    slack = F.abs(F.col("du") + F.col("distance") - F.col("dv"))
-    dag = cut(a.join(arcs, "u").join(b, ["src", "v"])
-              .where(slack <= 1e-9 * F.greatest(F.lit(1.0), F.abs("dv")))
-              .select("src", "u", "v", "edge_index"), "path-dag")
-    grown = cut(nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("node"),
-                             F.lit(1.0).alias("count")), "path-counts")
-    counts = grown
-    while True:
-        grown, (size, _) = cut_counted(
-            grown.withColumnRenamed("node", "u").join(dag, ["src", "u"])
-            .groupBy("src", F.col("v").alias("node")).agg(F.sum("count").alias("count")), "path-counts")
-        if size == 0:
-            break
-        counts = counts.unionByName(grown)
-    sigma = cut(counts.groupBy("src", "node").agg(F.sum("count").alias("sigma")), "sigma")
-    weighted = cut(dag.join(sigma.select("src", F.col("node").alias("u"), F.col("sigma").alias("su")), ["src", "u"])
-                   .join(sigma.select("src", F.col("node").alias("v"), F.col("sigma").alias("sv")), ["src", "v"])
-                   .select("src", "u", "v", "edge_index", (F.col("su") / F.col("sv")).alias("w")), "path-weights")
-    flow = cut(weighted.groupBy("src", F.col("u").alias("node")).agg(F.sum("w").alias("delta")), "flow")
-    total = flow
-    while True:
-        flow, (size, _) = cut_counted(
-            weighted.join(flow.select("src", F.col("node").alias("v"), "delta"), ["src", "v"])
-            .groupBy("src", F.col("u").alias("node")).agg(F.sum(F.col("w") * F.col("delta")).alias("delta")), "flow")
-        if size == 0:
-            break
-        total = total.unionByName(flow)
-    delta = cut(total.groupBy("src", "node").agg(F.sum("delta").alias("delta")), "dependency")
+    node_pairs, edge_pairs = pair_counts(structure, scores)
     n = nodes.agg(F.count(F.lit(1)).cast("double")).scalar()
-    node_sum = delta.where("src <> node").groupBy(F.col("node").alias("node_id")).agg(F.sum("delta").alias("s"))
-    node_out = (nodes.select("node_id").join(node_sum, "node_id", "left").withColumn("n", n)
-                .select("node_id", F.when(F.col("n") > 2, F.coalesce("s", F.lit(0.0))
+    node_out = (nodes.select("node_id").join(node_pairs.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("n", n)
+                .select("node_id", F.when(F.col("n") > 2, F.coalesce("pairs", F.lit(0.0))
                                           / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0).alias("betweenness")))
-    through = (weighted.join(delta.select("src", F.col("node").alias("v"), "delta"), ["src", "v"], "left")
-               .groupBy("edge_index").agg(F.sum(F.col("w") * (1.0 + F.coalesce("delta", F.lit(0.0)))).alias("s")))
-    edge_out = (edges.select("edge_index").join(through, "edge_index", "left").withColumn("n", n)
-                .select("edge_index", (F.coalesce("s", F.lit(0.0)) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0.0)))
+    edge_out = (edges.select("edge_index").join(edge_pairs, "edge_index", "left").withColumn("n", n)
+                .select("edge_index", (F.coalesce("pairs", F.lit(0.0)) / F.nullif(F.col("n") * (F.col("n") - 1), F.lit(0.0)))
                         .alias("betweenness")))
     return node_out, edge_out
 
 
-def cut_structure(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(bridges(edge_index), articulation_points(node_id))`` from one climb over a BFS forest.
-
-    A tree edge outside every cycle is a bridge. Tree edges linked through shared cycles form
-    the biconnected blocks; a node whose tree edges lie in two blocks is an articulation point.
-    """
-    tree = cut(breadth_first_forest(nodes, edges), "bfs")
-    covered, links = cover_links(tree, edges)
-    tree_edges = tree.where("parent IS NOT NULL")
-    open_edges = tree_edges.join(covered, "node", "left_anti").select(
-        F.least("node", "parent").alias("a"), F.greatest("node", "parent").alias("b"))
-    bridges = (edges.select("edge_index", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
-               .join(open_edges, ["a", "b"]).select("edge_index"))
-    blocks = component_labels(links)
-    blocked = (tree_edges.join(blocks, "node", "left")
-               .select(F.coalesce("label", "node").alias("block"), F.explode(F.array("node", "parent")).alias("node_id")))
-    articulation = (blocked.distinct().groupBy("node_id").count().where("count > 1").select("node_id"))
-    return bridges, articulation
-
-
 def annotate_nodes(nodes: DataFrame, members: DataFrame, assignments: DataFrame) -> DataFrame:
     """Haplotype of each node: the only distinct one of its members, else a known label."""
     clean = assignments.select(F.trim("sample").alias("sample"), F.trim("haplotype").alias("haplotype")).where(

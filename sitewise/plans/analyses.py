@@ -17,7 +17,7 @@ from sitewise.operators import quality as ql
 from sitewise.operators import samples as sm
 from sitewise.operators import structure as st
 from sitewise.operators import topology as tp
-from sitewise.operators.graph import shortest_paths
+from sitewise.operators.blocks import block_scores, cut_points, decompose
 from sitewise.schema import COMPLETE
 from sitewise.storage import cut
 
@@ -94,12 +94,13 @@ def analyze_topology(nodes: DataFrame, edges: DataFrame, members: DataFrame, ass
         nodes = tp.flag_intermediate(nodes, "frequency")
     nodes, edges = cut(nodes, "nodes"), cut(edges, "edges")
     components = cut(tp.connected_components(nodes, edges), "components")
-    paths = cut(shortest_paths(nodes, edges), "paths")
-    node_between, edge_between = tp.betweenness(nodes, edges, paths)
-    bridges, articulation = tp.cut_structure(nodes, edges)
+    structure = decompose(edges)
+    scores = block_scores(structure)
+    node_between, edge_between = tp.betweenness(nodes, edges, structure, scores)
+    bridges, articulation = cut_points(structure)
     annotated = cut(tp.annotate_nodes(nodes, members, assignments), "annotated")
     flag = articulation.withColumn("articulation_point", F.lit(True))
-    metrics = (annotated.join(tp.node_degree(nodes, edges), "node_id").join(tp.closeness(nodes, paths), "node_id")
+    metrics = (annotated.join(tp.node_degree(nodes, edges), "node_id").join(tp.closeness(nodes, structure, scores), "node_id")
                .join(node_between, "node_id").join(components, "node_id").join(flag, "node_id", "left")
                .withColumn("articulation_point", F.coalesce("articulation_point", F.lit(False))))
     metrics = cut(metrics, "node-metrics")

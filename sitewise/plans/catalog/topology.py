@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitewise.operators import topology as tp
+from sitewise.operators.blocks import block_scores, cut_points, decompose
 from sitewise.operators.graph import shortest_paths as all_shortest_paths
 from sitewise.plans import bridge as br
 from sitewise.plans.catalog.diversity import rounded
@@ -26,6 +27,11 @@ def _nodes(spark, d):
     return tp.flag_intermediate(br.nodes(spark, d), "frequency")
 
 
+def _betweenness(spark, d):
+    structure = decompose(br.edges(spark, d))
+    return tp.betweenness(br.nodes(spark, d), br.edges(spark, d), structure, block_scores(structure))
+
+
 @query("connected_components", "WITH RECURSIVE {network}, " + _CC + " SELECT node_id, component FROM comp")
 def connected_components(spark, d):
     return tp.connected_components(br.nodes(spark, d), br.edges(spark, d))
@@ -56,8 +62,8 @@ def shortest_paths(spark, d):
  r AS (SELECT src, count(*) - 1 AS r, sum(dist) AS d, (SELECT count(*) FROM nodes) AS n FROM sp GROUP BY src)
  SELECT src AS node_id, CASE WHEN r > 0 AND d > 0 THEN round(r / d * r / (n - 1), 9) ELSE 0.0 END AS closeness FROM r""")
 def closeness(spark, d):
-    nodes = br.nodes(spark, d)
-    return rounded(tp.closeness(nodes, all_shortest_paths(nodes, br.edges(spark, d))), "closeness")
+    structure = decompose(br.edges(spark, d))
+    return rounded(tp.closeness(br.nodes(spark, d), structure, block_scores(structure)), "closeness")
 
 
 _SIGMA = _SP + """,
@@ -72,8 +78,7 @@ _SIGMA = _SP + """,
  n AS (SELECT count(*) AS n FROM nodes)
  SELECT node_id, round(coalesce(s, 0) / ((n - 1) * (n - 2)), 9) AS betweenness FROM nodes LEFT JOIN b ON node = node_id, n""")
 def node_betweenness(spark, d):
-    nodes, edges = br.nodes(spark, d), br.edges(spark, d)
-    return rounded(tp.betweenness(nodes, edges, all_shortest_paths(nodes, edges))[0], "betweenness")
+    return rounded(_betweenness(spark, d)[0], "betweenness")
 
 
 @query("edge_betweenness", "WITH RECURSIVE {network}, " + _SIGMA + """,
@@ -82,8 +87,7 @@ def node_betweenness(spark, d):
  n AS (SELECT count(*) AS n FROM nodes)
  SELECT edge_index, round(coalesce(s, 0) / (n * (n - 1)), 9) AS betweenness FROM edges LEFT JOIN b USING (edge_index), n""")
 def edge_betweenness(spark, d):
-    nodes, edges = br.nodes(spark, d), br.edges(spark, d)
-    return rounded(tp.betweenness(nodes, edges, all_shortest_paths(nodes, edges))[1], "betweenness")
+    return rounded(_betweenness(spark, d)[1], "betweenness")
 
 
 _BRIDGES = """br(e, node) AS (SELECT edge_index, source FROM edges UNION SELECT b.e, a.v FROM br b JOIN arcs a ON a.u = b.node AND a.edge_index <> b.e),
@@ -94,12 +98,12 @@ _ARTIC = """ar(x, node) AS (SELECT u, min(v) FROM arcs GROUP BY u UNION SELECT r
 
 @query("bridges", "WITH RECURSIVE {network}, " + _BRIDGES + " SELECT edge_index FROM bridge")
 def bridges(spark, d):
-    return tp.cut_structure(br.nodes(spark, d), br.edges(spark, d))[0]
+    return cut_points(decompose(br.edges(spark, d)))[0]
 
 
 @query("articulation_points", "WITH RECURSIVE {network}, " + _ARTIC + " SELECT node_id FROM artic")
 def articulation_points(spark, d):
-    return tp.cut_structure(br.nodes(spark, d), br.edges(spark, d))[1]
+    return cut_points(decompose(br.edges(spark, d)))[1]
 
 
 _RAW_NODES = """raw_nodes AS (SELECT s_suppkey AS node_id, s_acctbal AS frequency FROM supplier
@@ -185,7 +189,7 @@ _MET = _ANN + """, deg AS (SELECT node_id, count(u) AS degree FROM nodes LEFT JO
   CASE WHEN dg > 0 AND degree = dg THEN 'Highest-degree node' END, CASE WHEN art THEN 'Articulation/structural bridge' END), ''), 'Peripheral/general') AS role FROM mp""")
 def structural_role(spark, d):
     nodes, edges = br.nodes(spark, d), br.edges(spark, d)
-    art = tp.cut_structure(nodes, edges)[1].withColumn("articulation_point", F.lit(True))
+    art = cut_points(decompose(edges))[1].withColumn("articulation_point", F.lit(True))
     met = (_annotated(spark, d).join(tp.node_degree(nodes, edges), "node_id").join(art, "node_id", "left")
            .withColumn("articulation_point", F.coalesce("articulation_point", F.lit(False))))
     return tp.structural_role(cut(met, "node-metrics")).select("node_id", "haplotype", "role")
@@ -203,9 +207,7 @@ def degree_histogram(spark, d):
  SELECT node_id, haplotype, round(s / ((n - 1) * (n - 2)), 9) AS betweenness FROM ann JOIN b ON node = node_id, n
  WHERE haplotype <> '' AND s > 0 ORDER BY round(s / ((n - 1) * (n - 2)), 9) DESC, node_id LIMIT 20""")
 def hub_ranking(spark, d):
-    nodes, edges = br.nodes(spark, d), br.edges(spark, d)
-    score = tp.betweenness(nodes, edges, all_shortest_paths(nodes, edges))[0]
-    met = rounded(_annotated(spark, d).join(score, "node_id"), "betweenness")
+    met = rounded(_annotated(spark, d).join(_betweenness(spark, d)[0], "node_id"), "betweenness")
     return tp.hub_ranking(met).select("node_id", "haplotype", "betweenness")
 
 
@@ -219,8 +221,8 @@ def dominant_haplotype(spark, d):
  SELECT edge_index, s.haplotype AS source_haplotype, t.haplotype AS target_haplotype FROM edges JOIN ann s ON s.node_id = source JOIN ann t ON t.node_id = target
  WHERE s.haplotype <> '' AND t.haplotype <> '' AND edge_index IN (SELECT edge_index FROM bridge)""")
 def mapped_bridges(spark, d):
-    nodes, edges = br.nodes(spark, d), br.edges(spark, d)
-    return tp.mapped_bridges(tp.label_edges(edges, _annotated(spark, d)), tp.cut_structure(nodes, edges)[0]).select(
+    edges = br.edges(spark, d)
+    return tp.mapped_bridges(tp.label_edges(edges, _annotated(spark, d)), cut_points(decompose(edges))[0]).select(
         "edge_index", "source_haplotype", "target_haplotype")
 
 

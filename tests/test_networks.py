@@ -6,7 +6,10 @@ from collections import defaultdict
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 
+from sitewise import storage
+from sitewise.operators import blocks, scan
 from sitewise.operators import distance as ds
 from sitewise.operators import network as nw
 from sitewise.operators import pairs as pr
@@ -110,8 +113,9 @@ def random_graph(seed, n=18):
     return [(i, *e) for i, e in enumerate(edges)]
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_topology_brute(spark, seed):
+@pytest.mark.parametrize("seed, wide", [(1, 1 << 20), (2, 1 << 20), (3, 1 << 20), (2, 1)])
+def test_topology_brute(spark, seed, wide):
+    """Blocks in tasks and, with ``wide`` 1, all blocks that are no bridges by joins."""
     n = 18
     edges = random_graph(seed, n)
     nodes_df = spark.createDataFrame([(i, "", 1.0) for i in range(n)], "node_id bigint, label string, frequency double")
@@ -130,7 +134,9 @@ def test_topology_brute(spark, seed):
     paths = shortest_paths(nodes_df, edges_df)
     assert {(r["src"], r["node"]): r["dist"] for r in paths.collect()} == {
         (i, j): d[i][j] for i in range(n) for j in range(n) if d[i][j] < inf}
-    close = {r["node_id"]: r["closeness"] for r in tp.closeness(nodes_df, paths).collect()}
+    structure = blocks.decompose(edges_df)
+    scores = blocks.block_scores(structure, block_edges=wide)
+    close = {r["node_id"]: r["closeness"] for r in tp.closeness(nodes_df, structure, scores).collect()}
     for i in range(n):
         reach = [x for j, x in enumerate(d[i]) if j != i and x < inf]
         assert close[i] == pytest.approx(len(reach) / sum(reach) * len(reach) / (n - 1) if reach else 0.0)
@@ -139,7 +145,7 @@ def test_topology_brute(spark, seed):
         count[s][s] = 1
         for v in sorted((x for x in range(n) if x != s and d[s][x] < inf), key=lambda x: d[s][x]):
             count[s][v] = sum(count[s][a] for _, u, t, w in edges for a, b in ((u, t), (t, u)) if b == v and abs(d[s][a] + w - d[s][v]) < 1e-9)
-    node, edge = tp.betweenness(nodes_df, edges_df, paths)
+    node, edge = tp.betweenness(nodes_df, edges_df, structure, scores)
     want = [sum(count[s][v] * count[v][t] / count[s][t] for s in range(n) for t in range(n)
                 if len({s, v, t}) == 3 and d[s][t] < inf and abs(d[s][v] + d[v][t] - d[s][t]) < 1e-9) / ((n - 1) * (n - 2)) for v in range(n)]
     assert [r["betweenness"] for r in node.orderBy("node_id").collect()] == pytest.approx(want)
@@ -148,7 +154,7 @@ def test_topology_brute(spark, seed):
         total = sum(count[s][a] * count[b][t] / count[s][t] for s in range(n) for t in range(n) for a, b in ((u, v), (v, u))
                     if d[s][t] < inf and s != t and abs(d[s][a] + w + d[b][t] - d[s][t]) < 1e-9)
         assert r["betweenness"] == pytest.approx(total / (n * (n - 1)))
-    bridges, points = tp.cut_structure(nodes_df, edges_df)
+    bridges, points = blocks.cut_points(structure)
     size = len(order)
     assert {r["edge_index"] for r in bridges.collect()} == {
         e[0] for e in edges if len(set(components(range(n), [x[1:] for x in edges if x[0] != e[0]]).values())) > size}
@@ -161,11 +167,48 @@ def test_edgeless_graph(spark):
     nodes = spark.createDataFrame([(i, None, 1.0) for i in range(3)], "node_id bigint, label string, frequency double")
     edges = spark.createDataFrame([], "edge_index bigint, source bigint, target bigint, distance double")
     assert [r["component"] for r in tp.connected_components(nodes, edges).orderBy("node_id").collect()] == [1, 2, 3]
-    bridges, points = tp.cut_structure(nodes, edges)
+    structure = blocks.decompose(edges)
+    bridges, points = blocks.cut_points(structure)
+    scores = blocks.block_scores(structure)
+    assert [r["closeness"] for r in tp.closeness(nodes, structure, scores).collect()] == [0.0] * 3
+    assert [r["betweenness"] for r in tp.betweenness(nodes, edges, structure, scores)[0].collect()] == [0.0] * 3
     assert bridges.count() == 0 and points.count() == 0
     assert component_labels(edges.selectExpr("source AS u", "target AS v")).count() == 0
 
 
+def test_chain_takes_logarithmic_rounds(spark):
+    """A chain of 2 000 nodes: exact sums, and fewer than 60 written tables for its cut structure."""
+    n, before = 2000, len(storage._written)
+    edges = spark.range(n - 1).selectExpr("id AS edge_index", "id AS source", "id + 1 AS target", "1.0D AS distance")
+    structure = blocks.decompose(edges)
+    bridges, points = blocks.cut_points(structure)
+    assert bridges.count() == n - 1 and points.count() == n - 2 and len(storage._written) - before < 60
+    scores = blocks.block_scores(structure)
+    assert {r["node"]: (r["reached"], r["total"]) for r in blocks.distance_sums(structure, scores).collect()} == {
+        i: (n - 1, i * (i + 1) / 2 + (n - 1 - i) * (n - i) / 2) for i in range(n)}
+    node, edge = blocks.pair_counts(structure, scores)
+    assert all(r["pairs"] == pytest.approx(2 * r["node"] * (n - 1 - r["node"])) for r in node.collect())
+    assert all(r["pairs"] == pytest.approx(2 * (r["edge_index"] + 1) * (n - 1 - r["edge_index"])) for r in edge.collect())
+
+
+def test_prefix_scans(spark):
+    """Running values, places and predecessors over many small ranges, ties in the value included."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, 1, 5, -2])) for k in rng.sample(range(10_000), 300)]
+    frame = spark.createDataFrame(rows, "k bigint, v bigint").repartition(7)
+    ordered, total, most, want = sorted(rows), None, None, []
+    for place, (k, v) in enumerate(ordered, 1):
+        prior = (total, most)
+        total = total if v is None else v + (total or 0)
+        most = v if most is None else most if v is None else max(most, v)
+        want.append((k, place, total, most, *prior, ordered[place - 2][1] if place > 1 else None))
+    values = {"total": ("sum", F.col("v")), "most": ("max", F.col("v"))}
+    got = scan.preceding(scan.numbered(scan.running(frame, ["k"], values), ["k"], "place"), ["k"], {"last": "v"})
+    prior = scan.running(frame, ["k"], {"a": values["total"], "b": values["most"]}, before=True).drop("v")
+    assert sorted(tuple(r) for r in got.join(prior, "k").select("k", "place", "total", "most", "a", "b", "last").collect()) == want
+    assert scan.numbered(frame.limit(0), ["k"], "place").count() == 0
+
+
 def test_network_file_rules(spark):
     path = scratch_path(spark, "gml")
     text = ('graph [\n directed 1\n node [\n data [\n Frequency "frequency=2.0\nA/1\nB [x]\n"\n ]\n id 0\n ]\n'
