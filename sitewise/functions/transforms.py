@@ -7,7 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.schema import NUMBER_PATTERN, UNIT_ALIASES, UNITS
+from sitewise.schema import UNIT_ALIASES, UNITS
+
+# grammar of a number: optional sign, digits with at most one point somewhere, optional exponent
+_SIGN, _DIGITS = "[-+]?", "[0-9]"
+_MANTISSA = rf"(?=\.?{_DIGITS}){_DIGITS}*\.?{_DIGITS}*"
+NUMBER = f"{_SIGN}{_MANTISSA}(?:[Ee]{_SIGN}{_DIGITS}+)?"
 
 
 @dataclass(frozen=True)
@@ -29,7 +34,7 @@ def text(col: Column) -> Column:
 def plain_number(col: Column) -> Column:
     """Finite number from strictly numeric text, else NULL."""
     t = text(col)
-    value = F.when(t.rlike(f"^{NUMBER_PATTERN}$"), t.try_cast("double"))
+    value = F.when(t.rlike(f"^{NUMBER}$"), t.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 
@@ -89,7 +94,7 @@ def measurement(col: Column, quantity: str, target_unit: str, bare_unit: str) ->
     for unit in (target_unit, bare_unit):
         if unit.lower() not in table:
             raise ValueError(f"unit {unit!r} is not valid for {quantity}")
-    pattern = rf"^({NUMBER_PATTERN})\s*([^\d\s]+)?$"
+    pattern = rf"^({NUMBER})\s*([^\d\s]+)?$"
     t = text(col)
     unit = F.translate(F.lower(F.regexp_extract(t, pattern, 2)), "μµ", "uu")
     unit = F.when(unit == "", F.lit(bare_unit.lower())).otherwise(unit)

@@ -11,7 +11,7 @@ from sitewise.operators.diversity import grouped, overall_complete, site_counts
 from sitewise.operators.haplotypes import collapse
 from sitewise.operators.pairs import sequence_pairs
 from sitewise.schema import ALPHABETS, CALLABLE
-from sitewise.storage import cut
+from sitewise.storage import cut, cut_counted
 
 
 def distinct_sequences(samples: DataFrame) -> DataFrame:
@@ -75,9 +75,11 @@ def network_haplotypes(samples: DataFrame, exclude_ambiguous: bool = True,
     """Haplotypes after dropping masked columns: ``(nodes(idx, sequence, n), members)``.
 
     A gap is a state. ``U`` is read as ``T`` unless ``as_rna`` keeps symbols literal. Sequences
-    that become identical are merged and keep all their members.
+    that become identical are merged and keep all their members. A mask without a site raises.
     """
-    mask = cut(site_mask(samples, exclude_ambiguous), "site-mask")
+    mask, (sites, _) = cut_counted(site_mask(samples, exclude_ambiguous), "site-mask")
+    if not sites and not samples.isEmpty():
+        raise ValueError("no site is left after excluding ambiguous or missing bases")
     symbols = F.upper("sequence") if as_rna else as_dna(F.col("sequence"))
     masked = cut(samples.select("sample_idx", "sample", symbols.alias("sequence"))
                  .withColumn("__runs", site_runs(mask))

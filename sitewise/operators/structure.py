@@ -397,7 +397,8 @@ def permutation_test(samples: DataFrame, group: str, permutations: int = 999,
                 (F.col("extreme") + 1) / (F.col("permutation_count") + 1))))
 
 
-def structure_warnings(samples: DataFrame, group: str, policy: str) -> DataFrame:
+def structure_warnings(samples: DataFrame, group: str | None, policy: str) -> DataFrame:
+    """Warnings on differentiation; without a group there are fewer than two groups, and none is a singleton."""
     counts = site_counts(samples, group)
     sites = scope_sites(counts)
     overall = F.col("scope") == "overall"
@@ -408,7 +409,7 @@ def structure_warnings(samples: DataFrame, group: str, policy: str) -> DataFrame
     pairwise = F.lit(policy == PAIRWISE)
     rules = [
         ("fewer_than_two_groups", F.col("groups") < 2),
-        ("singleton_group", F.col("smallest") < 2),
+        ("singleton_group", F.lit(group is not None) & (F.col("smallest") < 2)),
         ("amova_without_complete_site", F.col("complete") == 0),
         ("amova_uses_complete_sites", pairwise & (F.col("complete") > 0)),
         ("pairwise_sites_differ", pairwise),

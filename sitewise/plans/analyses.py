@@ -18,6 +18,7 @@ from sitewise.operators import samples as sm
 from sitewise.operators import structure as st
 from sitewise.operators import topology as tp
 from sitewise.operators.blocks import block_scores, cut_points, decompose
+from sitewise.operators.scan import numbered
 from sitewise.schema import COMPLETE
 from sitewise.storage import cut
 
@@ -50,8 +51,7 @@ def analyze_diversity(samples: DataFrame, group: str | None, policy: str = COMPL
                 "pairwise_fst": st.pairwise_fst(samples, group, policy),
                 "global_fst": st.global_fst(samples, group, policy), "amova": st.amova(samples, group),
                 "permutation": st.permutation_test(samples, group, permutations, seed, policy)}
-        warnings = warnings.unionByName(st.structure_warnings(samples, group, policy))
-    out["warnings"] = warnings
+    out["warnings"] = warnings.unionByName(st.structure_warnings(samples, group, policy))
     return out
 
 
@@ -145,8 +145,8 @@ def network_tables(network: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame,
     members = network["members"].select(F.col("idx").alias("node_id"), F.col("sample_idx").alias("ord"), "sample")
     ends = ("parent", "child") if "parent" in network["edges"].columns else ("u", "v")
     # dense edge numbers in endpoint order; an edge is unique per pair of ends
-    ordered = network["edges"].select(F.col(ends[0]).alias("source"), F.col(ends[1]).alias("target"), F.col("distance").cast("double").alias("distance"))
-    edges = ordered.withColumn("edge_index", F.xxhash64("source", "target"))
+    ends_of = network["edges"].select(F.col(ends[0]).alias("source"), F.col(ends[1]).alias("target"), F.col("distance").cast("double").alias("distance"))
+    edges = numbered(ends_of, ["source", "target"], "edge_index")
     return nodes, members, edges
 
 

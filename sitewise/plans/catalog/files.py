@@ -325,6 +325,65 @@ def _network_file(spark, d):
     return tb.read_network(spark, path)
 
 
+@query("metadata_issues", "SELECT 'duplicate_key' AS rule, 'C' || o_custkey AS ref FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def metadata_issues(spark, d):
+    path = scratch_path(spark, "metadata") + ".csv"
+    table(spark, d, "orders").select(
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("sample"), F.concat(F.lit("X"), F.col("o_orderkey").cast("string")).alias("accession"),
+        F.col("o_orderpriority").alias("country")).write.csv(path, header=True)
+    return tb.metadata_issues(spark, path)
+
+
+@query("mutation_issues", "SELECT 'O' || l_orderkey AS sample, l_linenumber || '(DEL:AA->GAP)' AS token FROM lineitem WHERE l_linenumber % 2 = 1")
+def mutation_issues(spark, d):
+    path = scratch_path(spark, "mutations") + ".tsv"
+    line = F.col("l_linenumber").cast("string")
+    tokens = F.concat(F.col("l_partkey").cast("string"), F.lit("(SNP:A->C);"),
+                      F.when(F.col("l_linenumber") % 2 == 1, F.concat(line, F.lit("(DEL:AA->GAP)"))).otherwise(F.concat(line, F.lit("(SNP:GAP->T)"))))
+    table(spark, d, "lineitem").select(F.concat_ws("\t", F.lit("-"), F.concat(F.lit("O"), F.col("l_orderkey").cast("string")), tokens).alias("value")).write.text(path)
+    return tb.mutation_issues(spark, path)
+
+
+# records of orders; four of five break a rule
+@query("vcf_issues", """SELECT ['invalid_position', 'position_not_positive', 'symbolic_allele', 'empty_allele'][k % 5 + 1] AS code, (r + 1)::VARCHAR AS ref
+ FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) WHERE k % 5 < 4""")
+def vcf_issues(spark, d):
+    path = scratch_path(spark, "variants") + ".vcf"
+    key = F.col("o_orderkey")
+    pos = F.when(key % 5 == 0, "x").when(key % 5 == 1, "0").otherwise(key.cast("string"))
+    alt = F.when(key % 5 == 2, "<DEL>").when(key % 5 == 3, ".").otherwise("C")
+    head = spark.createDataFrame([(-2, "##fileformat=VCFv4.2"), (-1, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2")], "key bigint, value string")
+    rows = table(spark, d, "orders").select(key.alias("key"), F.concat_ws(
+        "\t", F.lit("c"), pos, F.lit("."), F.lit("A"), alt, F.lit("."), F.lit("."), F.lit("."), F.lit("GT"), F.lit("0"), F.lit("1")).alias("value"))
+    write_lines(head.unionByName(rows), path, ["key"])
+    return vcf.read_vcf(spark, path)[2]
+
+
+# one file per nation: balances as frequencies, supplier names, zeros and balances as changes
+@query("network_issues", """WITH n AS (SELECT n_name, 'frequency_negative' AS rule, row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 1 AS ref, c_acctbal < 0 AS bad
+  FROM customer JOIN nation ON n_nationkey = c_nationkey),
+ e AS (SELECT n_name, CASE s_suppkey % 3 WHEN 0 THEN 'changes_not_positive' ELSE 'changes_not_numeric' END AS rule,
+  row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) - 1 AS ref, s_suppkey % 3 < 2 AS bad FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+ SELECT n_name AS nation, rule, ref FROM n WHERE bad UNION ALL SELECT n_name, rule, ref FROM e WHERE bad""")
+def network_issues(spark, d):
+    nation = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    customer = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "nation", F.lit(1).alias("part"), F.col("c_custkey").alias("key"), F.concat(
+            F.lit('node [ data [ Frequency "frequency='), F.col("c_acctbal").cast("string"), F.lit("\n"), F.col("c_name"), F.lit('\n" ] id '),
+            F.col("c_custkey").cast("string"), F.lit(" ]")).alias("value"))
+    change = F.when(F.col("s_suppkey") % 3 == 0, "0").when(F.col("s_suppkey") % 3 == 1, F.col("s_name")).otherwise("changes = 2.5")
+    supplier = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "nation", F.lit(2).alias("part"), F.col("s_suppkey").alias("key"), F.concat(
+            F.lit('edge [ data [ Changes "'), change, F.lit('" ] source 1 target 2 ]')).alias("value"))
+    ends = nation.select("nation", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("key"), F.lit("graph [").alias("value")).unionByName(
+        nation.select("nation", F.lit(3).alias("part"), F.lit(0).cast("bigint").alias("key"), F.lit("]").alias("value")))
+    path = scratch_path(spark, "networks")
+    (ends.unionByName(customer).unionByName(supplier).repartition("nation").sortWithinPartitions("nation", "part", "key")
+     .select("nation", "value").write.partitionBy("nation").text(path))
+    return tb.network_issues(spark, path).select(
+        F.url_decode(F.regexp_extract("file", "nation=([^/]+)", 1)).alias("nation"), "rule", "ref")
+
+
 @query("network_round_trip_nodes", "WITH {network} SELECT node_id, trim(label) AS label, frequency, (frequency <= 0 OR trim(label) = '') AS is_intermediate FROM nodes")
 def network_round_trip_nodes(spark, d):
     return _network_file(spark, d)[0].select("node_id", "label", "frequency", "is_intermediate")

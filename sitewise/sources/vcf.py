@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.sequence import cells, single_line
+from sitewise.operators.scan import numbered, running
 from sitewise.schema import IUPAC_PAIRS
 from sitewise.sources.lines import ordered_text, write_lines
 from sitewise.storage import cut
@@ -16,7 +17,9 @@ META_KEY = "##SampleMetadata="
 def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(variants, genotypes, violations)`` of VCF text (gzip is read as well).
 
-    ``record`` ties genotypes to their variant, as a position may have several records. Rows that break a rule are listed in ``violations(code, ref)`` and kept out of the variants.
+    ``record`` ties genotypes to their variant, as a position may have several records. Rows that
+    break a rule are listed in ``violations(code, ref)`` and kept out of the variants; a file
+    without sample columns or without records is listed as well.
     """
     lines = ordered_text(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
     header = lines.where(F.col("value").startswith("#CHROM"))
@@ -39,7 +42,10 @@ def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
     ref = F.col("row").cast("string").alias("ref")
     doubled = header.select(F.explode(F.slice(F.split("value", "\t"), 10, 1 << 30)).alias("s")).groupBy("s").count().where("count > 1")
     contigs = parsed.agg(F.count_distinct("chrom").alias("n")).where("n > 1")
-    violations = (parsed.where("code IS NOT NULL").select("code", ref)
+    wide = lines.agg(F.coalesce(F.max(F.when(F.col("value").startswith("#CHROM"), F.size(F.split("value", "\t")))), F.lit(0)).alias("n"))
+    bare = wide.where("n < 10").select(F.lit("no_samples").alias("code"), F.col("n").cast("string").alias("ref"))
+    void = data.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("no_records").alias("code"), F.lit("0").alias("ref"))
+    violations = (parsed.where("code IS NOT NULL").select("code", ref).unionByName(bare).unionByName(void)
                   .unionByName(doubled.select(F.lit("duplicate_sample").alias("code"), F.col("s").alias("ref")))
                   .unionByName(contigs.select(F.lit("several_contigs").alias("code"), F.col("n").cast("string").alias("ref"))))
     samples_in = F.arrays_zip(F.slice("__h", F.lit(10), F.size("__h")).alias("sample"), F.slice("c", F.lit(10), F.size("__h")).alias("field"))
@@ -126,24 +132,25 @@ def vcf_to_alignment(variants: DataFrame, genotypes: DataFrame, reference: str |
 
 def variable_runs(sites: DataFrame) -> DataFrame:
     """Maximal runs of adjacent variable sites: start, stop (exclusive)."""
-    w = Window.orderBy("pos")  # one row per site of the alignment
-    return (sites.select("pos", (F.col("pos") - F.row_number().over(w)).alias("island"))
-            .groupBy("island").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop")).select("start", "stop"))
+    placed = numbered(sites.select("pos"), ["pos"], "place")
+    return (placed.select("pos", (F.col("pos") - F.col("place")).alias("island")).groupBy("island").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop")).select("start", "stop"))
 
 
 def merge_intervals(blocks: DataFrame) -> DataFrame:
-    """Overlapping half-open intervals merged (touching ones stay apart)."""
-    w = Window.orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = blocks.withColumn("__new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
-    return (marked.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("__g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__g"))
+    """Overlapping half-open intervals merged (touching ones stay apart).
+
+    Two prefix scans over ranges of starts: the furthest stop so far, then the number of gaps.
+    """
+    order = ["start", "stop", "__id"]  # equal empty intervals stay apart
+    reached = running(blocks.select("start", "stop", F.monotonically_increasing_id().alias("__id")), order, {"reach": ("max", F.col("stop"))}, before=True)
+    gap = F.col("reach").isNull() | (F.col("start") >= F.col("reach"))
+    return (running(reached, order, {"__g": ("sum", gap.cast("bigint"))}).groupBy("__g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__g"))
 
 
 def ungapped_coordinates(reference_cells: DataFrame) -> DataFrame:
     """Per site: number of reference bases before it, plus one."""
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return reference_cells.select("pos", (F.coalesce(F.sum((F.col("base") != "-").cast("bigint")).over(w), F.lit(0)) + 1).alias("coordinate"))
+    counted = running(reference_cells.select("pos", "base"), ["pos"], {"bases": ("sum", (F.col("base") != "-").cast("bigint"))}, before=True)
+    return counted.select("pos", (F.coalesce("bases", F.lit(0)) + 1).alias("coordinate"))
 
 
 def _block_alleles(samples: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -175,14 +182,15 @@ def alignment_to_variants(samples: DataFrame, reference: str | None = None, chro
         raise ValueError("the alignment contains no variable sites")
     gap_only = _block_alleles(samples, runs).groupBy("start", "stop").agg(F.bool_or(F.col("allele") == "").alias("gap_only"))
     bases = ref_cells.where("base <> '-'").select("pos")
-    w = Window.orderBy("pos", "kind")
     def near(key: str, kinds: tuple[int, int], forward: bool) -> DataFrame:
         points = bases.select("pos", F.lit(kinds[0]).alias("kind"), F.lit(None).cast("bigint").alias("start")).unionByName(
             gap_only.select(F.col(key).alias("pos"), F.lit(kinds[1]).alias("kind"), "start"))
+        # looking forward is looking back along the negated order
+        way = -1 if forward else 1
+        points = points.select("pos", "start", (way * F.col("pos")).alias("at"), (way * F.col("kind")).alias("turn"))
         base = F.when(F.col("start").isNull(), F.col("pos"))
-        found = (F.first(base, True).over(w.rowsBetween(1, Window.unboundedFollowing)) if forward
-                 else F.last(base, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        return points.withColumn("near", found).where("start IS NOT NULL").select("start", F.col("near").alias(key + "_near"))
+        found = running(points, ["at", "turn", "start"], {"near": ("min" if forward else "max", base)}, before=True)
+        return found.where("start IS NOT NULL").select("start", F.col("near").alias(key + "_near"))
     # bases strictly before the start, and bases from the stop on
     anchored = (gap_only.join(near("start", (1, 0), False), "start").join(near("stop", (1, 0), True), "start")
                 .withColumn("from", F.when(F.col("gap_only"), F.coalesce("start_near", "start")).otherwise(F.col("start")))

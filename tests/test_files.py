@@ -1,11 +1,14 @@
 """File formats, conversions and text rules on hand-written input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sitewise.functions import transforms as tf
 from sitewise.operators import network as nw
 from sitewise.operators import samples as sm
+from sitewise.plans import analyses as an
 from sitewise.sources import convert as cv
 from sitewise.sources import sequences as sq
 from sitewise.sources import tables as tb
@@ -156,6 +159,100 @@ def test_invalid_genotype_and_short_row_raise(spark, put):
         tb.read_six_column(spark, put("s.tsv", "a\tb\t2020\tx\ty\tz\nc\td\n")).collect()
 
 
+def test_vcf_without_samples_or_records(spark, put):
+    head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+    record = "\nc\t2\t.\tA\tC\t.\t.\t.\tGT"
+    for text, codes in ((head + record + "\n", ["no_samples"]), (head + "\ts1\n", ["no_records"]), (head + "\n", ["no_records", "no_samples"]),
+                        (head + "\ts1" + record + "\t1\n", [])):
+        path = put(f"n{len(text)}.vcf", text)
+        assert sorted(r["code"] for r in vcf.read_vcf(spark, path)[2].collect()) == codes
+        if codes:
+            with pytest.raises(ValueError):
+                cv.read_sequences(spark, path)
+
+
+def test_metadata_headers_and_faults(spark, put):
+    """Each file has its own header; a key given twice, in one line too, and short lines are faults."""
+    paths = [put("h1.csv", "\ufeffSample Name,City,Value\na,x,3\nb,,nan\n"), put("h2.tsv", "accession\tstrain\nA1\ts1\n\nA2\t*\n"),
+             put("h3.tsv", "n1\tACC1\t2020\tde\t*\tulm\nn2\tACC2\n")]
+    got = sorted((r["key"], r["sample"], r["discrete"], r["continuous"]) for r in tb.read_metadata(spark, paths).collect())
+    assert got == sorted([("a", "a", "x", "3"), ("b", "b", "", "0"), ("A1", "A1", "", "0"), ("s1", "A1", "", "0"), ("A2", "A2", "", "0"),
+                          ("ACC1", "ACC1", "de / ulm", "0"), ("n1", "ACC1", "de / ulm", "0"), ("ACC2", "ACC2", "", "0"), ("n2", "ACC2", "", "0")])
+    twice = put("t.csv", "sample,accession,city\na,X1,u\na,X2,v\nb,X1,w\nc,c,x\n")
+    assert {(r["rule"], r["ref"]) for r in tb.metadata_issues(spark, twice).collect()} == {("duplicate_key", k) for k in ("a", "X1", "c")}
+    with pytest.raises(ValueError, match="duplicate_key"):
+        tb.read_metadata(spark, twice)
+    assert tb.read_metadata(spark, twice, on_error="keep").count() == 8
+    short = put("s.tsv", "one\ttwo\t2020\nlonely\n")
+    assert [(r["rule"], r["ref"]) for r in tb.metadata_issues(spark, short).collect()] == [("few_columns", "s.tsv:1")]
+    with pytest.raises(ValueError, match="few_columns"):
+        tb.read_metadata(spark, short)
+
+
+def test_mutation_tokens_of_another_form(spark, put):
+    path = put("m.tsv", "-\ts\t1(SNP:A->C);7(DEL:AA->GAP); \n-\tt\t2(SNP:GAP->T)\n")
+    assert [tuple(r) for r in tb.mutation_issues(spark, path).collect()] == [("s", "7(DEL:AA->GAP)")]
+    with pytest.raises(Exception, match="another form"):
+        tb.read_mutations(spark, path).count()
+    assert tb.read_mutations(spark, path, on_error="skip").count() == 2
+
+
+def test_network_faults_and_escapes(spark, put):
+    node = 'node [ data [ Frequency "{}" ] id {} ]'
+    sound = put("ok.gml", "graph [ " + node.format("size 3\n FREQUENCY = +2.5\nA\\\"1\\\\n\n B\\tc [x] ", 1) + ' node [ label "q\\"x" id 2 ]'
+                + ' edge [ data [ Changes "changes = 4" ] source 1 target 2 ] edge [ data [ Changes 2.5 ] source 2 target 1 ] edge [ source 1 target 2 data [ Changes "" ] ] ]')
+    nodes, members, edges = tb.read_network(spark, sound)
+    assert [(r["node_id"], r["label"], r["frequency"]) for r in nodes.orderBy("ord").collect()] == [(1, None, 2.5), (2, 'q"x', 0.0)]
+    assert [r["sample"] for r in members.orderBy("ord").collect()] == ['A"1\\n', "B\tc [x]"]
+    assert [r["distance"] for r in edges.orderBy("edge_index").collect()] == [4.0, 2.5, 1.0]
+    bad = [node.format("no number here", 1), node.format("frequency=-3", 2), 'node [ label "x" ]', 'edge [ data [ Changes "abc" ] source 1 target 2 ]',
+           'edge [ data [ Changes "0" ] source 1 target 2 ]', 'edge [ data [ Changes "-1" ] source 1 target 2 ]', "edge [ source 1 ]"]
+    want = ["frequency_not_numeric", "frequency_negative", "node_without_id", "changes_not_numeric", "changes_not_positive", "changes_not_numeric",
+            "edge_without_end"]
+    for k, (entry, rule) in enumerate(zip(bad, want)):
+        path = put(f"bad{k}.gml", f"graph [ {entry} ]")
+        assert [r["rule"] for r in tb.network_issues(spark, path).collect()] == [rule]
+        with pytest.raises(Exception, match=rule):
+            nodes, _, edges = tb.read_network(spark, path)
+            (nodes if entry.startswith("node") else edges).collect()
+
+
+def test_guessed_conversions(spark):
+    rows = spark.createDataFrame([("2020-01-02", "3 cm", "5", "7.", "x"), (" ", "4", "6.5", ".5e2", "1")],
+                                 "sampling_date string, `Plant height` string, depth string, weight string, temperature string")
+    want = [("date", None), ("measurement", "length"), ("number", None), ("number", None), ("number", None)]
+    for column, (mode, quantity) in zip(rows.columns, want):
+        rule = tb.guess_conversion(rows, column)
+        assert rule.mode == mode and (quantity is None or rule.quantity == quantity)
+    assert tb.column_roles(["id", "Sample", "Height (m)", "city", "日期"]) == [
+        ("id", "name"), ("Sample", "discrete"), ("Height (m)", "continuous"), ("city", "discrete"), ("日期", "continuous")]
+
+
+def test_empty_mask_and_warnings_without_group(spark, make):
+    with pytest.raises(ValueError, match="no site is left"):
+        an.build_network(make([("a", "", "NA"), ("b", "", "A?")]), "rmst")
+    out = an.analyze_diversity(make([("a", "", "ACGT"), ("b", "", "ACGA")]), None, "pairwise", permutations=0)
+    codes = {r["code"] for r in out["warnings"].where("scope = 'structure'").collect()}
+    assert codes == {"fewer_than_two_groups", "amova_uses_complete_sites", "pairwise_sites_differ"}
+
+
+def test_interval_and_run_scans(spark):
+    rng = random.Random(3)
+    spans = [(s, s + rng.randrange(0, 6)) for s in (rng.randrange(300) for _ in range(120))]
+    want, reach = [], None
+    for start, stop in sorted(spans):
+        if reach is None or start >= reach:
+            want.append([start, stop])
+        else:
+            want[-1][1] = max(want[-1][1], stop)
+        reach = stop if reach is None else max(reach, stop)
+    frame = spark.createDataFrame(spans, "start bigint, stop bigint").repartition(6)
+    assert sorted(map(list, vcf.merge_intervals(frame).collect())) == want
+    sites = sorted(rng.sample(range(200), 90))
+    runs = sorted(tuple(r) for r in vcf.variable_runs(spark.createDataFrame([(p,) for p in sites], "pos bigint").repartition(5)).collect())
+    assert [p for a, b in runs for p in range(a, b)] == sites and all(a > prev for (_, prev), (a, _) in zip(runs, runs[1:]))
+
+
 def test_metadata_quotes_and_ties(spark, put):
     path = put("m.csv", '# note\naccession,haplotype,sampling_locality,Country,value\nx1,h,"a, b","C, D",nan\nx2,h,z,*,7\n')
     got = {r["key"]: (r["discrete"], r["continuous"]) for r in tb.read_metadata(spark, path).collect()}
