@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.llm.words import WordHashes, pieces, signed, texts_of
-from sitewise.storage import cut, cut_counted
+from sitewise.storage import cut, cut_counted, scratch_path
 
 MIN_COUNT = 10
 MAX_WORDS = 3
 COVERED = (50, 100)  # a phrase goes if a longer one around it has this share of its count
-BLOCK = 1 << 18      # occurrences of one block of a relation
+BLOCK = 1 << 18      # occurrences that a task holds before it writes a block of the relation
+WORDS = 1 << 16      # different words that a task counts before it sends them on
 CHUNK = 1 << 20      # bytes of a text that are split at a time
+ROW_GROUP = 4 << 20  # bytes of a written row group: what a reader decodes at once
 # The semi-join's filter has 16 bits for each group it holds, up to this size. More groups than that
 # let more occurrences pass; their counts, which are exact, still decide.
 MOST_BITS = 1 << 26
@@ -38,7 +40,7 @@ class _Hashes(WordHashes):
     """Word hashes under a seed; ``.`` stands for the end of a piece."""
 
     def __init__(self, seed: int):
-        super().__init__()
+        super().__init__(limit=WORDS)
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
@@ -89,45 +91,55 @@ def _arrow(rows: list[dict], extra: pa.Array | None = None) -> pa.RecordBatch:
 
 
 def occurrences(docs: DataFrame, seed: int, longest: int) -> DataFrame:
-    """R1 of ``docs`` (lang, text) as blocks of at most about ``BLOCK`` entries, with word counts.
+    """R1 of ``docs`` (lang, text) as blocks of at most about ``BLOCK`` entries, and word counts.
 
     A block is a run of the relation in order of piece and position: ``codes`` point into
     ``hashes``, code 0 ends a piece. Only the first ``own`` entries count as starts; up to
     ``longest`` - 1 more are there to be looked at and come again in the next block, so a piece
-    may be longer than a block. ``counted`` holds the words themselves with their counts.
+    may be longer than a block. Rows without codes hold in ``counted`` words with their counts; a
+    task sends them once it has met ``WORDS`` of them.
     """
-    kind = pa.list_(pa.struct([("word", pa.string()), ("hash", pa.int64()), ("n", pa.int64())]))
+    kind = [pa.field("word", pa.string()), pa.field("hash", pa.int64()), pa.field("n", pa.int64())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ahead = _Hashes(seed), longest - 1
         stop = np.uint64(hashes[b"."])
         held: dict[str, list[np.ndarray]] = {}
+        sizes: Counter = Counter()
         counts: dict[str, Counter] = {}
-        size = 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            for lang in list(held):
-                entries = np.concatenate(held[lang])
-                own = len(entries) if last else max(len(entries) - ahead, 0)
-                held[lang] = [entries[own:]]
-                counter = counts[lang]
-                counter.pop(b".", None)
-                words = [{"word": w.decode(), "hash": int(signed(np.array([hashes[w]], np.uint64))[0]), "n": n}
-                         for w, n in counter.items()]
-                counts[lang] = Counter()
-                if own:
-                    yield _arrow([_block(lang, entries, own, stop)], pa.array([words], kind))
 
-        for batch in pieces(batches):
+        def block(lang: str, last: bool) -> Iterator[pa.RecordBatch]:
+            entries = np.concatenate(held[lang])
+            own = len(entries) if last else len(entries) - ahead
+            if own > 0:
+                held[lang], sizes[lang] = [entries[own:]], len(entries) - own
+                none = pa.ListArray.from_arrays(pa.array([0, 0], pa.int32()), pa.array([], pa.struct(kind)))
+                yield _arrow([_block(lang, entries, own, stop)], none)
+
+        def words() -> Iterator[pa.RecordBatch]:
+            for lang, counter in counts.items():
+                counter.pop(b".", None)
+                met = list(counter)
+                counted = pa.StructArray.from_arrays(
+                    [pa.array(met, pa.binary()).cast(pa.string()), pa.array(signed(hashes.of(met)), pa.int64()),
+                     pa.array(np.fromiter(counter.values(), np.int64, len(met)), pa.int64())], fields=kind)
+                nothing = {"lang": lang, "own": 0, "codes": np.zeros(0, np.int32), "hashes": np.zeros(0, np.int64)}
+                yield _arrow([nothing], pa.ListArray.from_arrays(pa.array([0, len(met)], pa.int32()), counted))
+            counts.clear()
+
+        for batch in pieces(batches, 256):
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch)):
-                for words in tokens(text):
-                    held.setdefault(lang, []).append(hashes.of(words))
-                    counts.setdefault(lang, Counter()).update(words)
-                    size += len(words)
-                    if size >= BLOCK:
-                        yield from flush(False)
-                        size = sum(len(a) for parts in held.values() for a in parts)
-        yield from flush(True)
+                for part in tokens(text):
+                    held.setdefault(lang, []).append(hashes.of(part))
+                    counts.setdefault(lang, Counter()).update(part)
+                    sizes[lang] += len(part)
+                    if sizes.total() >= BLOCK:  # the longest run goes, so that blocks stay long
+                        yield from block(max(sizes, key=sizes.get), False)
+            if sum(map(len, counts.values())) >= WORDS:
+                yield from words()
+        for lang in list(held):
+            yield from block(lang, True)
+        yield from words()
 
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")
                        ).mapInArrow(read, RELATION + ", counted array<struct<word:string,hash:bigint,n:bigint>>")
@@ -246,20 +258,27 @@ def group_counts(relation: DataFrame, width: int, least: int) -> DataFrame:
     return rows.groupBy("lang", *names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
+def write_relation(relation: DataFrame, label: str) -> DataFrame:
+    """``cut`` with small row groups: a row is a whole block, and a reader takes a row group at a time."""
+    path = scratch_path(relation.sparkSession, label)
+    relation.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return relation.sparkSession.read.schema(relation.schema).parquet(path)
+
+
 def read_relation(docs: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
     """R1 and the words (lang, word, w1, n) of the corpus, under hashes without a collision.
 
     Should two words share a hash, or a word share that of the piece's end, the next seed is taken.
     """
     for seed in numbers():
-        relation = cut(occurrences(docs, seed, longest), "phrase-r1")
+        relation = write_relation(occurrences(docs, seed, longest), "phrase-r1")
         words = cut(relation.select("lang", F.explode("counted").alias("c"))
                     .groupBy("lang", "c.word", F.col("c.hash").alias("w1")).agg(F.sum("c.n").alias("n")), "phrase-words")
         stop = int(signed(np.array([_Hashes(seed)[b"."]], np.uint64))[0])
         twice = words.groupBy("w1").agg(F.min("word").alias("a"), F.max("word").alias("b")).filter(
             (F.col("a") != F.col("b")) | (F.col("w1") == stop))
         if twice.isEmpty():
-            return relation.select("lang", "own", "codes", "hashes"), words
+            return relation.where("own > 0").select("lang", "own", "codes", "hashes"), words
 
 
 def frequent_groups(docs: DataFrame, longest: int = MAX_WORDS, least: int = MIN_COUNT
@@ -267,15 +286,23 @@ def frequent_groups(docs: DataFrame, longest: int = MAX_WORDS, least: int = MIN_
     """All words, and for each length the groups with at least ``least`` occurrences per language."""
     relation, words = read_relation(docs, longest)
     groups, n = cut_counted(words.filter(F.col("n") >= least), "phrase-groups")
-    found, n = {1: groups}, n[0]
+    found, n, held = {1: groups}, n[0], []
     for width in range(2, longest + 1):
         frequent = membership(found[width - 1], _names(width - 1), n)
-        relation = cut(semi_join(relation, frequent, width - 1), f"phrase-r{width - 1}")
-        frequent.destroy()
+        relation, held = semi_join(relation, frequent, width - 1), [*held, frequent]
+        if width > 2:  # R1 is written already and its semi-join with the words is quick
+            relation, held = write_relation(relation, f"phrase-r{width - 1}"), _destroyed(held)
         found[width], (n, _) = cut_counted(group_counts(relation, width, least), "phrase-groups")
+    _destroyed(held)
     return words, found
 
 
+def _destroyed(broadcasts: list[Broadcast]) -> list[Broadcast]:
+    for b in broadcasts:
+        b.destroy()
+    return []
+
+
 def _names(width: int, first: int = 1) -> list[str]:
     return [f"w{k}" for k in range(first, first + width)]
 
