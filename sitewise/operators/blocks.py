@@ -94,14 +94,17 @@ def spanning_tree(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = cut(left.where("cu <> cv"), "tree-left")
 
 
-def rooted(picked: DataFrame, roots: DataFrame) -> DataFrame:
+def rooted(picked: DataFrame, roots: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Preorder of a spanning forest: node, parent, root, pre, size, comp_size, by an Euler tour.
 
     Arcs are numbered by (tail, head), so the arc that follows another around a node is the next
     number, or the node's first. The tour is cut at the root and ranked by pointer doubling.
+    Columns ``by`` of the edges come before the head; they must put a node's edge to its parent
+    before or behind all others.
     """
-    both = picked.unionByName(picked.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    arcs = cut(numbered(both, ["u", "v"], "arc"), "tour-arcs")
+    by = by or []
+    both = picked.select("u", "v", *by).unionByName(picked.select(F.col("v").alias("u"), F.col("u").alias("v"), *by))
+    arcs = cut(numbered(both, ["u", *by, "v"], "arc"), "tour-arcs")
     span = arcs.groupBy("u").agg(F.min("arc").alias("first"), F.max("arc").alias("last"))
     reverse = arcs.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("arc").alias("back"))
     paired = arcs.join(reverse, ["u", "v"]).join(span.withColumnRenamed("u", "v"), "v").join(

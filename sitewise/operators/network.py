@@ -10,17 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.sequence import single_line
-from sitewise.operators.graph import component_labels, spanning_forest
+from sitewise.operators.graph import spanning_forest
+from sitewise.operators.mergetree import merge_order
 from sitewise.operators.pairs import _placed, _split, block_pairs, codes, compare
-from sitewise.storage import cut, cut_counted
-
-# Threshold graphs are labelled together while edges x thresholds stays below this; a larger
-# forest is first reduced to one spanning forest, which has the same threshold components.
-KEYED_EDGES = 50_000_000
+from sitewise.storage import cut
 
 
 def _local_forest(distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,27 +57,26 @@ def distance_forest(nodes: DataFrame) -> DataFrame:
     return placed.groupBy("__lo", "__hi").applyInPandas(work, "u bigint, v bigint, d bigint").distinct()
 
 
-def threshold_components(nodes: DataFrame) -> DataFrame:
-    """Per node: ascending distance levels and its component once edges up to a level are in."""
-    forest, (size, _) = cut_counted(distance_forest(nodes), "distance-forest")
-    levels = [r["d"] for r in forest.select("d").distinct().orderBy("d").collect()]  # few distinct distances
-    if size * len(levels) > KEYED_EDGES:
-        forest = cut(spanning_forest(forest.select(F.lit(0).alias("g"), "u", "v", "d",
-                                                   F.col("u").alias("a"), F.col("v").alias("b")),
-                                     ["g"], ["d", "a", "b"]), "distance-forest")
-        levels = [r["d"] for r in forest.select("d").distinct().orderBy("d").collect()]
-    keyed = forest.select(F.explode(F.filter(
-        F.array(*[F.lit(x).cast("bigint") for x in levels]) if levels else F.array().cast("array<bigint>"),
-        lambda x: x >= F.col("d"))).alias("level"), "u", "v")
-    labels = component_labels(keyed, ["level"])
-    history = labels.groupBy("node").agg(F.map_from_entries(
-        F.collect_list(F.struct("level", "label"))).alias("at"))
-    at = F.array(*[F.coalesce(F.element_at("at", F.lit(x).cast("bigint")), F.col("idx")) for x in levels]) \
-        if levels else F.array().cast("array<bigint>")
-    return (nodes.join(history.withColumnRenamed("node", "idx"), "idx", "left")
-            .withColumn("levels", F.array(*[F.lit(x).cast("bigint") for x in levels]) if levels
-                        else F.array().cast("array<bigint>"))
-            .withColumn("comps", at).drop("at"))
+def _gaps(placed: DataFrame) -> DataFrame:
+    """One row for each pair of blocks that are no neighbours: the largest height between them."""
+    peaks = cut(placed.groupBy("__block", "__blocks").agg(F.max("height").alias("peak")), "block-peaks")
+    after = peaks.select(F.col("__block").alias("__lo"), F.explode(F.sequence(
+        F.lit(0), F.col("__blocks") - 1)).alias("__hi")).where("__lo < __hi")
+    between = Window.partitionBy("__lo").orderBy("__hi").rowsBetween(Window.unboundedPreceding, -1)
+    return (after.join(peaks.select(F.col("__block").alias("__hi"), "peak"), "__hi")
+            .select("__lo", "__hi", F.max("peak").over(between).alias("height")).where("height IS NOT NULL"))
+
+
+def _meeting(left: pd.DataFrame, right: pd.DataFrame, gap: int) -> np.ndarray:
+    """Heights at which the rows of one block meet those of another, or of the same block; rows are in order."""
+    if left is right:
+        h = left["height"].to_numpy()
+        above = np.maximum.accumulate(np.triu(np.broadcast_to(h, (len(h), len(h))), 1), axis=1)
+        return np.maximum(above, above.T)
+    tail = left["height"].to_numpy()[1:][::-1]
+    leaving = np.r_[np.maximum.accumulate(tail)[::-1], 0].astype("int64")
+    coming = np.maximum.accumulate(right["height"].to_numpy())
+    return np.maximum(np.maximum(leaving[:, None], coming[None, :]), gap)
 
 
 def spanning_network(nodes: DataFrame, epsilon: float = 0) -> DataFrame:
@@ -90,28 +86,31 @@ def spanning_network(nodes: DataFrame, epsilon: float = 0) -> DataFrame:
     our reading of the minimum spanning network of Bandelt et al. (1999). ``nodes`` has idx and
     sequence; the result ``u < v, distance`` leaves the block tasks already filtered, so the
     complete distance matrix is never written.
+
+    Blocks are runs of the order of the merge tree. Two nodes come together at the largest height
+    between them, which a pair of blocks knows from its own heights and one number for all
+    blocks between; so a node carries its place and its height and nothing for each threshold.
     """
     if not 0 <= epsilon <= 9999:
         raise ValueError("epsilon must be between 0 and 9999")
-    rows = cut(threshold_components(nodes.select("idx", "sequence")), "threshold-components")
+    nodes = nodes.select("idx", "sequence")
+    order = merge_order(distance_forest(nodes)).withColumnRenamed("node", "idx")
+    placed = _placed(cut(nodes.join(order, "idx"), "merge-placed"), "idx", "pos")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        between = pdf["idx"].isna()
+        gap = int(pdf.loc[between, "height"].max()) if between.any() else 0
+        pdf = pdf[~between].sort_values("pos")
         left, right, _ = _split(pdf)
         d = compare(codes(left["sequence"]), codes(right["sequence"]), None)[1]
-        li, ri = left["idx"].to_numpy(), right["idx"].to_numpy()
-        levels = np.asarray(left["levels"].iloc[0], dtype=float)
-        cl = np.column_stack([li, *np.stack(left["comps"].to_list()).T]) if len(levels) else li[:, None]
-        cr = np.column_stack([ri, *np.stack(right["comps"].to_list()).T]) if len(levels) else ri[:, None]
-        step = np.searchsorted(levels, d - epsilon, side="left")
-        joined = np.zeros(d.shape, dtype=bool)
-        for k in range(len(levels) + 1):
-            joined |= (step == k) & (cl[:, k][:, None] == cr[:, k][None, :])
-        a, b = np.nonzero(~joined & (li[:, None] != ri[None, :]))
+        li, ri = left["idx"].to_numpy(dtype="int64"), right["idx"].to_numpy(dtype="int64")
+        a, b = np.nonzero((_meeting(left, right, gap) >= d - epsilon) & (li[:, None] != ri[None, :]))
         u, v = np.minimum(li[a], ri[b]), np.maximum(li[a], ri[b])
         return pd.DataFrame({"u": u, "v": v, "distance": d[a, b]}).drop_duplicates(["u", "v"])
 
-    placed = block_pairs(_placed(rows, "idx"), "idx", "__block", "__blocks")
-    return placed.groupBy("__lo", "__hi").applyInPandas(work, "u bigint, v bigint, distance bigint")
+    every = block_pairs(placed, "idx", "__block", "__blocks").drop("__blocks").unionByName(
+        _gaps(placed), allowMissingColumns=True)
+    return every.groupBy("__lo", "__hi").applyInPandas(work, "u bigint, v bigint, distance bigint")
 
 
 def random_mst_frequency(network: DataFrame, replicates: int, seed: int) -> DataFrame:

@@ -80,14 +80,17 @@ def _split(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
     return pdf[pdf["__block"] == lo], pdf[pdf["__block"] == hi], False
 
 
-def _placed(rows: DataFrame, key: str) -> DataFrame:
-    """Add block number and block count; sizes come from one small aggregate."""
+def _placed(rows: DataFrame, key: str, place: str | None = None) -> DataFrame:
+    """Add block number and block count; sizes come from one small aggregate.
+
+    Blocks are hashes of ``key`` or, with ``place``, runs of that 1-based dense number.
+    """
     spark = rows.sparkSession
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.length("sequence")).alias("w")).first()
     per = block_rows(size["n"], size["w"] or 1, spark.sparkContext.defaultParallelism)
     blocks = max(1, -(-size["n"] // per))
-    return (rows.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
-            .withColumn("__blocks", F.lit(blocks)))
+    block = F.expr(f"(`{place}` - 1) div {per}") if place else F.pmod(F.xxhash64(key), F.lit(blocks))
+    return rows.withColumn("__block", block.cast("int")).withColumn("__blocks", F.lit(blocks))
 
 
 def sequence_pairs(rows: DataFrame, alphabet: str | None = CALLABLE) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitewise import storage
 from sitewise.operators import blocks, scan
 from sitewise.operators import distance as ds
+from sitewise.operators import mergetree as mt
 from sitewise.operators import network as nw
 from sitewise.operators import pairs as pr
 from sitewise.operators import topology as tp
@@ -67,9 +68,37 @@ def test_spanning_network(spark, monkeypatch, epsilon, block):
             want.add((u, v, d))
     got = {tuple(r) for r in nw.spanning_network(frame, epsilon).collect()}
     assert got == want
-    if not epsilon:
-        monkeypatch.setattr(nw, "KEYED_EDGES", 0)  # through one spanning forest
-        assert {tuple(r) for r in nw.spanning_network(frame).collect()} == want
+
+
+def test_spanning_network_of_one_or_none(spark):
+    frame = spark.createDataFrame([(7, "ACGT")], "idx bigint, sequence string")
+    assert nw.spanning_network(frame).collect() == []
+    assert nw.spanning_network(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed, n, extra", [(1, 30, 0.0), (2, 24, 0.2), (3, 40, 0.05)])
+def test_merge_tree_brute(spark, seed, n, extra):
+    """Chains, ties and several components: heights of every pair and runs of every threshold."""
+    rng = random.Random(seed)
+    chain = [(i, i + 1, rng.randint(1, 6)) for i in range(n - 1) if rng.random() < 0.93]
+    edges = chain + [(u, v, rng.randint(1, 6)) for u, v in itertools.combinations(range(n), 2) if rng.random() < extra]
+    frame = spark.createDataFrame(edges, "u bigint, v bigint, d bigint")
+    order = [(r["node"], r["height"]) for r in mt.merge_order(frame).orderBy("pos").collect()]
+    assert sorted(x for x, _ in order) == sorted({x for e in edges for x in e[:2]})
+    links = {r["node"]: (r["up"], r["height"]) for r in mt.merge_links(frame).collect()}
+    for level in range(7):
+        label = components(range(n), [e for e in edges if e[2] <= level])
+        for i, (a, _) in enumerate(order):
+            met = 0
+            for b, height in order[i + 1:]:
+                met = max(met, height)
+                assert (met <= level) == (label[a] == label[b])
+        top = {}
+        for a, _ in order:
+            x = a
+            while x in links and links[x][1] <= level:
+                x = links[x][0]
+            assert top.setdefault(label[a], x) == x
 
 
 def test_random_frequency(spark):
