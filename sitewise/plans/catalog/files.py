@@ -13,7 +13,7 @@ from sitewise.sources import convert as cv
 from sitewise.sources import sequences as sq
 from sitewise.sources import tables as tb
 from sitewise.sources import vcf
-from sitewise.sources.lines import write_lines
+from sitewise.sources.lines import ordered_text, write_lines
 from sitewise.storage import cut, scratch_path
 
 _SEQ = "WITH {samples} SELECT sample_idx, sample, sequence FROM samples"
@@ -219,6 +219,35 @@ def subset_variants(spark, d):
     return vcf.subset_variants(cut(genotypes, "genotypes"), wanted).select("pos", "sample", "field")
 
 
+# records of orders over one column for each nation; positions repeat and are in no order
+@query("vcf_subset_round_trip", """WITH w AS (SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN 'N' || n_nationkey ELSE n_name END AS name FROM nation WHERE n_regionkey <> 2),
+ fx AS (SELECT '#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT' AS t),
+ hd(ord, value) AS (VALUES (-4, '##fileformat=VCFv4.2'), (-3, '##INFO=<ID=P,Number=1,Type=String,Description="priority">'), (-2, '##contig=<ID=c>')),
+ tt AS (SELECT -1 AS ord, replace(t, ' ', chr(9)) || chr(9) || (SELECT string_agg(name, chr(9) ORDER BY k) FROM w) AS value FROM fx),
+ rc AS (SELECT o_orderkey AS ord, concat_ws(chr(9), 'c', o_custkey + 1, 'rs' || o_orderkey, 'A', 'C,G', o_orderkey % 90, o_orderstatus, 'P=' || o_orderpriority || ';K', 'GT:DP',
+  string_agg((o_orderkey + k) % 3 || ':' || k, chr(9) ORDER BY k)) AS value FROM orders, w GROUP BY o_orderkey, o_custkey, o_orderstatus, o_orderpriority),
+ al AS (SELECT * FROM hd UNION ALL SELECT * FROM tt UNION ALL SELECT * FROM rc)
+ SELECT row_number() OVER (ORDER BY ord) - 1 AS row, value FROM al""")
+def vcf_subset_round_trip(spark, d):
+    src, dst = scratch_path(spark, "records") + ".vcf", scratch_path(spark, "subset") + ".vcf"
+    nation = table(spark, d, "nation")
+    columns = nation.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n")).scalar()
+    fixed = "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".replace(" ", "\t")
+    head = spark.createDataFrame([(-4, "##fileformat=VCFv4.2"), (-3, '##INFO=<ID=P,Number=1,Type=String,Description="priority">'),
+                                  (-2, "##contig=<ID=c>")], "ord bigint, value string")
+    title = spark.range(1).select(F.lit(-1).cast("bigint").alias("ord"), F.concat_ws("\t", F.lit(fixed), columns["n_name"]).alias("value"))
+    key = F.col("o_orderkey").cast("bigint")
+    calls = F.transform("n", lambda c: F.concat_ws(":", ((F.col("o_orderkey") + c["n_nationkey"]) % 3).cast("string"), c["n_nationkey"].cast("string")))
+    rows = table(spark, d, "orders").withColumn("n", columns).select(key.alias("ord"), F.concat_ws(
+        "\t", F.lit("c"), (F.col("o_custkey") + 1).cast("string"), F.concat(F.lit("rs"), key.cast("string")), F.lit("A"), F.lit("C,G"),
+        (key % 90).cast("string"), "o_orderstatus", F.concat(F.lit("P="), "o_orderpriority", F.lit(";K")), F.lit("GT:DP"), calls).alias("value"))
+    write_lines(head.unionByName(title).unionByName(rows), src, ["ord"])
+    wanted = nation.where("n_regionkey <> 2").select(F.col("n_name").alias("sample"), F.when(
+        F.col("n_regionkey") == 1, F.concat(F.lit("N"), F.col("n_nationkey").cast("string"))).alias("alias"))
+    vcf.subset_vcf(spark, src, dst, wanted)
+    return ordered_text(spark, dst).select("row", "value")
+
+
 _GT = """gt0 AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS f, substr(md5(concat('g:', cast(l_orderkey AS string), ':', cast(l_linenumber AS string))), 1, 1) AS h FROM lineitem),
  gt1 AS (SELECT id, f, CASE WHEN h < '2' THEN './.' WHEN h < '4' THEN '0' WHEN h < '6' THEN '1|1' WHEN h < '8' THEN '0/1' WHEN h < 'a' THEN '1/0' WHEN h < 'b' THEN '' WHEN h < 'c' THEN '2' ELSE '0|0' END AS g FROM gt0)"""
 

@@ -12,6 +12,8 @@ from sitewise.sources.lines import ordered_text, write_lines
 from sitewise.storage import cut
 
 META_KEY = "##SampleMetadata="
+# columns before the first sample
+FIXED = 9
 
 
 def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -226,6 +228,69 @@ def subset_variants(genotypes: DataFrame, wanted: DataFrame) -> DataFrame:
     return genotypes.join(wanted, "sample").withColumn("sample", F.col("alias")).drop("alias")
 
 
+def read_vcf_text(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(header, titles, records)`` of VCF text with nothing decoded, for sinks that keep records as read.
+
+    ``header(row, value)`` holds the ``##`` and other comment lines, ``titles(row, columns)`` the
+    ``#CHROM`` line and ``records(row, columns)`` the data; ``row`` is the place in the file. Line
+    ends of other systems, blank lines and a byte order mark are dropped.
+    """
+    value = F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^\ufeff", "")
+    lines = ordered_text(spark, path).select("row", value.alias("value")).where("value <> ''")
+    comment, title = F.col("value").startswith("#"), F.col("value").startswith("#CHROM")
+    columns = F.split("value", "\t").alias("columns")
+    return (lines.where(comment & ~title), lines.where(title).select("row", columns),
+            lines.where(~comment).select("row", columns))
+
+
+def _chosen_columns(titles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sample columns of ``wanted``: at (0-based), sample, alias; the name itself where an alias is null."""
+    names = titles.select(F.posexplode("columns").alias("at", "sample")).where(f"at >= {FIXED}")
+    return names.join(wanted.select("sample", "alias"), "sample").select("at", "sample", F.coalesce("alias", "sample").alias("alias"))
+
+
+def subset_issues(spark: SparkSession, path: str | list[str], wanted: DataFrame) -> DataFrame:
+    """Why ``subset_vcf`` would refuse: code, ref. ``column_count`` names the row, counted from 0."""
+    _, titles, records = read_vcf_text(spark, path)
+    def many(df: DataFrame, code: str, column: str) -> DataFrame:
+        return df.groupBy(column).count().where("count > 1").select(F.lit(code).alias("code"), F.col(column).alias("ref"))
+    def facts(df: DataFrame, code: str, rule: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n")).where(rule).select(F.lit(code).alias("code"), F.col("n").cast("string").alias("ref"))
+    width = titles.agg(F.min(F.size("columns"))).scalar()
+    names = titles.select(F.explode("columns").alias("sample"))
+    lost = wanted.select("sample").distinct().join(
+        titles.select(F.explode(F.slice("columns", FIXED + 1, 1 << 30)).alias("sample")), "sample", "left_anti")
+    return (facts(wanted, "nothing_selected", "n = 0")
+            .unionByName(many(wanted, "sample_selected_twice", "sample"))
+            .unionByName(facts(titles, "no_title", "n = 0")).unionByName(facts(titles, "several_titles", "n > 1"))
+            .unionByName(facts(names, "no_samples", f"n BETWEEN 1 AND {FIXED}"))
+            .unionByName(records.withColumn("__w", width).where(F.size("columns") != F.col("__w")).select(
+                F.lit("column_count").alias("code"), F.col("row").cast("string").alias("ref")))
+            .unionByName(lost.select(F.lit("sample_not_found").alias("code"), F.col("sample").alias("ref")))
+            .unionByName(many(_chosen_columns(titles, wanted), "alias_used_twice", "alias")))
+
+
+def subset_vcf(spark: SparkSession, src: str, dst: str, wanted: DataFrame) -> None:
+    """Write the sample columns ``wanted(sample, alias)`` of a VCF file under their aliases.
+
+    Comment lines, the nine fixed columns and the order of lines and columns stay as read, so IDs,
+    qualities, filters, INFO and positions with several records survive. The whole source is
+    checked before anything is written; the first issues are raised. ``wanted`` may be given in any
+    order; extra columns are ignored.
+    """
+    issues = subset_issues(spark, src, wanted).limit(10).collect()
+    if issues:
+        raise ValueError("VCF subset: " + ", ".join(f"{r['code']} {r['ref']}" for r in issues))
+    header, titles, records = read_vcf_text(spark, src)
+    chosen = _chosen_columns(titles, wanted).agg(F.array_sort(F.collect_list(F.struct("at", "alias"))).alias("chosen")).scalar()
+    fixed = F.slice("columns", 1, FIXED)
+    renamed = titles.withColumn("__k", chosen).select("row", F.concat(fixed, F.col("__k.alias")).alias("columns"))
+    kept = records.withColumn("__k", chosen).select("row", F.concat(fixed, F.transform(
+        "__k", lambda k: F.get("columns", k["at"]))).alias("columns"))
+    lines = renamed.unionByName(kept).select("row", F.array_join("columns", "\t").alias("value"))
+    write_lines(header.unionByName(lines), dst, ["row"])
+
+
 def write_vcf(variants: DataFrame, genotypes: DataFrame, path: str, reference_length: int | None = None,
               metadata: DataFrame | None = None) -> None:
     """VCF text. One line holds all genotypes of a record, as the format requires.

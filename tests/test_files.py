@@ -13,6 +13,7 @@ from sitewise.sources import convert as cv
 from sitewise.sources import sequences as sq
 from sitewise.sources import tables as tb
 from sitewise.sources import vcf
+from sitewise.sources.lines import ordered_text
 from sitewise.storage import scratch_path
 
 
@@ -150,6 +151,30 @@ def test_records_of_one_position_stay_apart(spark, put):
     assert [r[0] for r in spark.read.text(path).where("value LIKE 'c%'").orderBy("value").collect()] == body.splitlines()
 
 
+def test_vcf_subset_keeps_records(spark, put):
+    head = "##fileformat=VCFv4.2\n##contig=<ID=c>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\n"
+    first, second = "c\t9\tr1\tA\t<DEL>\t7\tq\tX=1;Y\tGT:DP", "c\t2\t.\tA\tG\t.\tPASS\t.\tGT"
+    src = put("sub.vcf", "\ufeff" + head.replace("\n", "\r\n") + f"{first}\t1:5\t0:6\t./.:\n\n#late\n{second}\t0\t\t1\n{first}\t0:1\t1:1\t0:3\n")
+    def wanted(*rows):
+        return spark.createDataFrame([(*r, "x") for r in rows], "sample string, alias string, at string")
+    dst = scratch_path(spark, "sub") + ".vcf"
+    vcf.subset_vcf(spark, src, dst, wanted(("s3", "a"), ("s2", None)))
+    got = [r["value"] for r in ordered_text(spark, dst).orderBy("row").collect()]
+    title = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT"
+    assert got == ["##fileformat=VCFv4.2", "##contig=<ID=c>", title + "\ts2\ta", first + "\t0:6\t./.:", "#late", second + "\t\t1", first + "\t1:1\t0:3"]
+    one = wanted(("s1", None))
+    for rows, code in ((one.limit(0), "nothing_selected 0"), (wanted(("s1", "a"), ("s1", "b")), "sample_selected_twice s1"),
+                       (wanted(("s9", None)), "sample_not_found s9"), (wanted(("POS", None)), "sample_not_found POS"),
+                       (wanted(("s1", "s2"), ("s2", None)), "alias_used_twice s2")):
+        with pytest.raises(ValueError, match=code):
+            vcf.subset_vcf(spark, src, scratch_path(spark, "no"), rows)
+    bad = [(title + "\n" + first + "\n", {"no_samples", "sample_not_found"}), (first + "\n", {"no_title", "sample_not_found"}),
+           (head + head, {"several_titles", "alias_used_twice"}), (head + second + "\t0\n", {"column_count"}),
+           (head.replace("s2", "s1"), {"alias_used_twice"}), ("", {"no_title", "sample_not_found"})]
+    for i, (text, codes) in enumerate(bad):
+        assert {r["code"] for r in vcf.subset_issues(spark, put(f"bad{i}.vcf", text), one).collect()} == codes
+
+
 def test_invalid_genotype_and_short_row_raise(spark, put):
     head = "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\n"
     variants, genotypes, _ = vcf.read_vcf(spark, put("w.vcf", head + "c\t2\t.\tA\tC\t.\t.\t.\tGT\t7\t0\n"))
