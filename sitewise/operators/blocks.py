@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sitewise.operators.graph import component_labels, shortest_paths
+from sitewise.operators.graph import _follow, component_labels, shortest_paths
 from sitewise.operators.scan import numbered
 from sitewise.storage import cut, cut_counted
 
@@ -42,27 +42,6 @@ class Structure:
     edges: DataFrame
 
 
-def _twice(pointers: DataFrame, key: str, to: str, sums: list[str], carry: list[str] = ()) -> DataFrame:
-    """Every pointer ``key`` -> ``to`` followed once more; ``sums`` add up, ``carry`` is taken over."""
-    step = pointers.select(F.col(key).alias(to), F.col(to).alias("__to"),
-                           *[F.col(c).alias(f"__{c}") for c in [*sums, *carry]])
-    rest = [c for c in pointers.columns if c not in (key, to, *sums, *carry)]
-    return pointers.join(step, to, "left").select(
-        key, *rest, F.col("__to").alias(to), *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in sums],
-        *[F.coalesce(f"__{c}", c).alias(c) for c in carry])
-
-
-def _follow(pointers: DataFrame, key: str, to: str, sums: list[str], carry: list[str] = (), label: str = "jump") -> DataFrame:
-    """Written ``pointers`` followed to their ends by doubling, two doublings for each table."""
-    left = 1
-    while left:
-        seen = Observation()
-        far = _twice(_twice(pointers, key, to, sums, carry), key, to, sums, carry)
-        pointers = cut(far.observe(seen, F.count(to).alias("n")), label)
-        left = seen.get["n"]
-    return pointers.drop(to)
-
-
 def spanning_tree(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges (u, v) of a spanning forest and one root for each component, by Boruvka contraction.
 

@@ -48,33 +48,54 @@ def component_labels(edges: DataFrame, key: list[str] | None = None) -> DataFram
                          .distinct()))
 
 
+def _twice(pointers: DataFrame, key: str, to: str, sums: list[str], carry: list[str] = ()) -> DataFrame:
+    """Every pointer ``key`` -> ``to`` followed once more; ``sums`` add up, ``carry`` is taken over."""
+    step = pointers.select(F.col(key).alias(to), F.col(to).alias("__to"),
+                           *[F.col(c).alias(f"__{c}") for c in [*sums, *carry]])
+    rest = [c for c in pointers.columns if c not in (key, to, *sums, *carry)]
+    return pointers.join(step, to, "left").select(
+        key, *rest, F.col("__to").alias(to), *[(F.col(c) + F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in sums],
+        *[F.coalesce(f"__{c}", c).alias(c) for c in carry])
+
+
+def _follow(pointers: DataFrame, key: str, to: str, sums: list[str], carry: list[str] = (), label: str = "jump") -> DataFrame:
+    """Written ``pointers`` followed to their ends by doubling, two doublings for each table."""
+    left = 1
+    while left:
+        seen = Observation()
+        far = _twice(_twice(pointers, key, to, sums, carry), key, to, sums, carry)
+        pointers = cut(far.observe(seen, F.count(to).alias("n")), label)
+        left = seen.get["n"]
+    return pointers.drop(to)
+
+
 def spanning_forest(edges: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Minimum spanning forest per ``key`` under the strict edge order ``order`` (Boruvka).
 
     ``edges`` has key columns, ``u``, ``v`` and the order columns, which must be unique per key.
-    Each round every component keeps its smallest outgoing edge; the chosen edges are contracted.
+    Each round every component keeps its smallest outgoing edge; the chosen edges are contracted
+    by following each component's choice to its end. Every round leaves at most half of them.
     """
-    rank = F.struct(*order)
-    left = cut(edges.select(*key, "u", "v", F.col("u").alias("cu"), F.col("v").alias("cv"), *order),
-               "forest-edges")
-    chosen_all: DataFrame | None = None
     columns = [*key, "u", "v", *order]
+    def at(node: str) -> F.Column:
+        return F.struct(*key, F.col(node).alias("node"))
+    left = cut(edges.select(*columns, at("u").alias("cu"), at("v").alias("cv")).where("u <> v"), "forest-edges")
+    chosen_all = left.select(*columns).limit(0)
     while True:
-        ends = F.explode(F.array("cu", "cv"))
-        best = left.withColumn("c", ends).groupBy(*key, "c").agg(
-            F.min(rank).alias("r"), F.min_by(F.struct("u", "v", "cu", "cv"), rank).alias("e"))
-        chosen, (size, _) = cut_counted(best.select(*key, "e.*", "r.*").distinct(), "forest-step")
-        if size == 0:
-            break
-        picked = chosen.select(*columns)
-        chosen_all = picked if chosen_all is None else chosen_all.unionByName(picked)
-        labels = component_labels(chosen.select(*key, F.col("cu").alias("u"), F.col("cv").alias("v")), key)
+        ends = left.select(F.col("cu").alias("c"), F.col("cv").alias("to"), *columns).unionByName(
+            left.select(F.col("cv").alias("c"), F.col("cu").alias("to"), *columns))
+        best = ends.groupBy("c").agg(F.min_by(F.struct("to", *columns), F.struct(*order)).alias("e")).select("c", "e.*")
+        back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        # two components may pick the same edge; the smaller one is then the end of the pointers
+        hooked, (size, _) = cut_counted(best.join(back, "to").withColumn("up", F.when(
+            (F.col("back") != F.col("c")) | (F.col("c") > F.col("to")), F.col("to"))).select("c", "up", *columns), "forest-hook")
+        if not size:
+            return chosen_all
+        chosen_all = chosen_all.unionByName(hooked.where("up IS NOT NULL").select(*columns))
+        label = _follow(hooked.select("c", "up", F.col("c").alias("label")), "c", "up", [], ["label"], "forest-label")
         for side in ("cu", "cv"):
-            to = labels.select(*key, F.col("node").alias(side), F.col("label").alias("__l"))
-            left = (left.join(to, [*key, side], "left")
-                    .withColumn(side, F.coalesce("__l", side)).drop("__l"))
+            left = left.join(label.select(F.col("c").alias(side), "label"), side).withColumn(side, F.col("label")).drop("label")
         left = cut(left.where("cu <> cv"), "forest-edges")
-    return chosen_all if chosen_all is not None else edges.select(*columns).limit(0)
 
 
 def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sitewise.operators.blocks import _follow, rooted
+from sitewise.operators.blocks import rooted
+from sitewise.operators.graph import _follow
 from sitewise.storage import cut, cut_counted
 
 # height between components that no edge joins

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.sequence import single_line
 from sitewise.operators.graph import spanning_forest
-from sitewise.operators.mergetree import merge_order
+from sitewise.operators.mergetree import climb, merge_links, merge_order
 from sitewise.operators.pairs import _placed, _split, block_pairs, codes, compare
 from sitewise.storage import cut
 
@@ -113,21 +113,50 @@ def spanning_network(nodes: DataFrame, epsilon: float = 0) -> DataFrame:
     return every.groupBy("__lo", "__hi").applyInPandas(work, "u bigint, v bigint, distance bigint")
 
 
+def tie_classes(network: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(settled, tied)`` edges of a network by what equally long edges can do to a spanning tree.
+
+    All shorter edges are contracted, once for every tree order: ``cu`` and ``cv`` are the ends'
+    components below the edge's length. Edges of one length in one component are a class; where
+    a class is a tree of contracted ends, every spanning tree of minimal length takes all of it.
+    Edges inside a contracted end are in neither table: no minimal tree has them.
+    """
+    edges = cut(network.select("u", "v", "distance"), "tie-edges")
+    links = cut(merge_links(edges.select("u", "v", F.col("distance").alias("d"))), "merge-links")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node"), "distance").distinct().withColumn("at", F.col("node"))
+    below = climb(ends, "at", links, lambda height: height < F.col("distance"))
+    inside = climb(below.withColumn("c", F.col("at")), "at", links, lambda height: height <= F.col("distance"))
+    def end(node: str, to: str, *more) -> DataFrame:
+        return inside.select(F.col("node").alias(node), "distance", F.col("c").alias(to), *more)
+    joined = (edges.join(end("u", "cu", F.col("at").alias("class")), ["u", "distance"]).join(end("v", "cv"), ["v", "distance"])
+              .where("cu <> cv"))
+    vertices = joined.select("distance", "class", F.explode(F.array("cu", "cv")).alias("c")).distinct().groupBy("distance", "class").agg(
+        F.count(F.lit(1)).alias("vertices"))
+    sizes = joined.groupBy("distance", "class").agg(F.count(F.lit(1)).alias("links")).join(vertices, ["distance", "class"])
+    marked = cut(joined.join(sizes.select("distance", "class", (F.col("links") < F.col("vertices")).alias("settled")), ["distance", "class"]),
+                 "tie-classes")
+    return marked.where("settled").select("u", "v", "distance"), marked.where("NOT settled").select("u", "v", "distance", "cu", "cv")
+
+
 def random_mst_frequency(network: DataFrame, replicates: int, seed: int) -> DataFrame:
     """How often each edge appears in a minimum spanning tree built under a random node order.
 
     Ties between equally long edges follow the random order of their ends, so only edges of the
-    exact network can ever be chosen. All replicates run side by side as one keyed forest.
+    exact network can ever be chosen. Only edges in tie classes are drawn, one keyed forest for
+    each replicate and length over the contracted ends; the others are in every tree.
     """
     if not 1 <= replicates <= 1000:
         raise ValueError("replicates must be between 1 and 1000")
     def draw(node: str) -> F.Column:
         return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(node).cast("string")))
-    keyed = (network.select("u", "v", "distance", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-             .withColumn("__a", draw("u")).withColumn("__b", draw("v"))
+    settled, tied = tie_classes(network)
+    keyed = (tied.select(F.col("u").alias("a"), F.col("v").alias("b"), "distance", F.col("cu").alias("u"), F.col("cv").alias("v"),
+                         F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+             .withColumn("__a", draw("a")).withColumn("__b", draw("b"))
              .withColumn("lo", F.least("__a", "__b")).withColumn("hi", F.greatest("__a", "__b")))
-    forest = spanning_forest(keyed, ["rep"], ["distance", "lo", "hi"])
-    return (forest.groupBy("u", "v", "distance").agg(F.count(F.lit(1)).alias("count"))
+    forest = spanning_forest(keyed, ["rep", "distance"], ["lo", "hi", "a", "b"])
+    drawn = forest.groupBy(F.col("a").alias("u"), F.col("b").alias("v"), "distance").agg(F.count(F.lit(1)).alias("count"))
+    return (settled.withColumn("count", F.lit(replicates).cast("bigint")).unionByName(drawn)
             .withColumn("frequency", F.col("count") / F.lit(float(replicates))))
 
 

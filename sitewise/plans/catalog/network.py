@@ -40,6 +40,24 @@ def random_mst_frequency(spark, d):
     return nw.random_mst_frequency(net, 100, 1729)
 
 
+# Kruskal for each replicate: an edge is in the tree if no path of edges before it joins its ends
+_DRAWS = """rp AS (SELECT net.*, r, md5('7:' || r || ':' || u) AS mu, md5('7:' || r || ':' || v) AS mv FROM net, range(1, 5) t(r)),
+ ro AS MATERIALIZED (SELECT u, v, distance, r, row_number() OVER (PARTITION BY r ORDER BY distance, least(mu, mv), greatest(mu, mv)) AS k FROM rp),
+ ra AS MATERIALIZED (SELECT r, k, u, v FROM ro UNION ALL SELECT r, k, v, u FROM ro),
+ kb(r, k, node, label) USING KEY (r, k, node) AS (SELECT r, k, idx, idx FROM ro, nd
+  UNION SELECT c.r, c.k, a.v, min(c.label) FROM kb c JOIN ra a ON a.r = c.r AND a.u = c.node AND a.k < c.k
+  JOIN recurring.kb b ON b.r = c.r AND b.k = c.k AND b.node = a.v WHERE c.label < b.label GROUP BY c.r, c.k, a.v)"""
+
+
+@query("random_mst_draws", "WITH RECURSIVE {cells}, " + NODES_CTE + ", " + _REACH.replace("EPS", "0") + ", " + _DRAWS + """
+ SELECT u, v, distance, count(*) AS count, count(*) / 4.0::DOUBLE AS frequency FROM ro
+ JOIN kb x ON x.r = ro.r AND x.k = ro.k AND x.node = u JOIN kb y ON y.r = ro.r AND y.k = ro.k AND y.node = v
+ WHERE x.label <> y.label GROUP BY u, v, distance""")
+def random_mst_draws(spark, d):
+    net = cut(nw.spanning_network(ds.network_haplotypes(samples(spark, d))[0]), "network")
+    return nw.random_mst_frequency(net, 4, 7)
+
+
 _TOKEN = "CASE WHEN {} = '-' THEN 'GAP' ELSE {} END"
 _MUT = f"""ref AS (SELECT pos, base FROM cells WHERE sample_idx = (SELECT min(sample_idx) FROM samples)),
  mut AS (SELECT c.sample_idx, c.sample, c.pos, {_TOKEN.format('r.base', 'r.base')} AS ref, {_TOKEN.format('c.base', 'c.base')} AS alt

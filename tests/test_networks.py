@@ -114,6 +114,25 @@ def test_random_frequency(spark):
     assert got == dict(want)
 
 
+def test_random_frequency_of_any_network(spark):
+    """Loops inside contracted ends never count, edges alone in their class always do; several components."""
+    rng = random.Random(6)
+    pairs = [e for e in itertools.combinations(range(26), 2) if rng.random() < 0.12 and (e[0] < 13) == (e[1] < 13)]
+    edges = [(u, v, rng.randint(1, 4)) for u, v in pairs] + [(30, 31, 2)]
+    frame = spark.createDataFrame(edges, "u bigint, v bigint, distance bigint")
+    want = defaultdict(int)
+    for rep in range(1, 13):
+        draw = lambda n: md5(f"5:{rep}:{n}".encode()).hexdigest()  # noqa: B023, E731
+        for u, v, _ in kruskal(range(32), edges, lambda e: (e[2], *sorted((draw(e[0]), draw(e[1]))))):
+            want[u, v] += 1
+    assert {(r["u"], r["v"]): r["count"] for r in nw.random_mst_frequency(frame, 12, 5).collect()} == dict(want)
+    settled, tied = nw.tie_classes(frame)
+    always = {(r["u"], r["v"]) for r in settled.collect()}
+    assert (30, 31) in always and all(want[e] == 12 for e in always)
+    assert {(r["u"], r["v"]) for r in tied.collect()} >= {e for e, n in want.items() if n < 12}
+    assert nw.random_mst_frequency(frame.limit(0), 3, 1).collect() == []
+
+
 def test_spanning_forest_weight(spark):
     rng = random.Random(8)
     edges = [(u, v, rng.randint(1, 5)) for u, v in itertools.combinations(range(30), 2) if rng.random() < 0.15]
