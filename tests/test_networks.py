@@ -76,6 +76,12 @@ def test_spanning_network_of_one_or_none(spark):
     assert nw.spanning_network(frame.limit(0)).collect() == []
 
 
+def test_ship_once(spark):
+    for _ in range(2):
+        storage.ship(spark)
+        assert sum(f.endswith("/sitewise.zip") for f in spark.sparkContext.listFiles) == 1
+
+
 @pytest.mark.parametrize("seed, n, extra", [(1, 30, 0.0), (2, 24, 0.2), (3, 40, 0.05)])
 def test_merge_tree_brute(spark, seed, n, extra):
     """Chains, ties and several components: heights of every pair and runs of every threshold."""
