@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.sequence import site_runs, take_sites
 from sitewise.operators.diversity import (
     grouped, overall_complete, scope_sites, site_counts)
+from sitewise.operators.draws import drawn_alleles, drawn_labels
 from sitewise.operators.pairs import (
     _placed, _split, block_pairs, codes, compare, group_pair_sums)
 from sitewise.schema import CALLABLE, COMPLETE, PAIRWISE, check_policy
 from sitewise.storage import cut
 
-RANK_ROWS = 1 << 16
 TIE_DIGITS = 12
 # Replicates whose label counts travel together to one block pair.
 REPLICATE_SLICE = 50
@@ -179,51 +179,17 @@ def amova(samples: DataFrame, group: str) -> DataFrame:
         "percent_among", "percent_within", "phi_st")
 
 
-def shuffle_labels(members: DataFrame, sizes: DataFrame, permutations: int, seed: int,
-                   total: int) -> DataFrame:
-    """Random relabelling that keeps group sizes: ``rep, grp, fingerprint, n``.
-
-    Replicate ``rep`` orders the samples by a 60-bit md5 key and deals out the labels in group
-    order. Ranks come from prefix buckets: the buckets' sizes are accumulated, so no task sorts
-    more than about RANK_ROWS samples however many samples there are.
-    """
-    digits = 0
-    while total / 16 ** digits > RANK_ROWS:
-        digits += 1
-    keyed = (members.select("sample_idx", "fingerprint",
-                            F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("rep"))
-             .withColumn("__h", F.substring(F.md5(F.concat_ws(
-                 ":", F.lit(str(seed)), F.col("rep").cast("string"),
-                 F.col("sample_idx").cast("string"))), 1, 15)))
-    # hex text of one width sorts like the number it spells
-    order = ["__h", "sample_idx"]
-    if digits == 0:
-        ranked = keyed.withColumn("__rank", F.row_number().over(
-            Window.partitionBy("rep").orderBy(*order)))
-    else:
-        keyed = keyed.withColumn("__b", F.substring("__h", 1, digits))
-        before = Window.partitionBy("rep").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = (keyed.groupBy("rep", "__b").agg(F.count(F.lit(1)).alias("__n"))
-                   .select("rep", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")))
-        ranked = keyed.join(offsets, ["rep", "__b"]).withColumn(
-            "__rank", F.row_number().over(Window.partitionBy("rep", "__b").orderBy(*order))
-            + F.col("__off"))
-    # one entry per group: the last rank that receives its label
-    upto = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, 0)
-    deal = (sizes.select("grp", F.sum("n").over(upto).alias("hi"))
-            .agg(F.sort_array(F.collect_list(F.struct("hi", "grp"))).alias("deal"))).scalar()
-    return (ranked.withColumn("__deal", deal)
-            .withColumn("grp", F.element_at(F.filter(
-                "__deal", lambda e: e["hi"] >= F.col("__rank")), 1)["grp"])
-            .groupBy("rep", "grp", "fingerprint").agg(F.count(F.lit(1)).alias("n")))
+def group_sizes(members: DataFrame) -> list[tuple[str, int]]:
+    """Groups and their sizes from ``members(grp, n)``, in the order of their names; the labels a permutation deals out."""
+    return sorted((r["grp"], r["n"]) for r in members.groupBy("grp").agg(F.sum("n").alias("n")).collect())
 
 
 def permutation_statistics(samples: DataFrame, group: str, permutations: int, seed: int) -> DataFrame:
     """Global FST and phi_st per replicate (complete deletion); ``rep`` 0 is the observed table.
 
-    Replicates are evaluated on haplotype counts, and a haplotype is represented only by the
-    alleles in which it differs from the most common sequence, so invariant and major-allele
-    cells never enter a join.
+    A replicate is a draw of group counts for every haplotype (``draws``), and a haplotype is
+    represented only by the alleles in which it differs from the most common sequence. Both meet
+    inside a task, which returns allele counts; samples never meet replicates.
     """
     if not 0 <= permutations <= 100_000:
         raise ValueError("permutation count must be between 0 and 100000")
@@ -240,27 +206,32 @@ def permutation_statistics(samples: DataFrame, group: str, permutations: int, se
     keyed = cut(masked.select("sample_idx", "grp", "signature"), "signatures")
     # the first sample of a haplotype stands for it: a short key that cannot collide
     firsts = keyed.groupBy("signature").agg(F.min("sample_idx").alias("fingerprint"))
-    members = cut(keyed.join(firsts, "signature").select("sample_idx", "grp", "fingerprint"), "members")
-    units = members.where("sample_idx = fingerprint").select("sample_idx", "fingerprint")
+    members = cut(keyed.join(firsts, "signature").groupBy("grp", "fingerprint").agg(F.count(F.lit(1)).alias("n")), "members")
+    units = firsts.select(F.col("fingerprint").alias("sample_idx"), "fingerprint")
     minor = cut(base.join(units, "sample_idx")
                 .select("fingerprint", F.posexplode(F.split("sequence", "")).alias("p", "base"))
                 .withColumn("pos", (F.col("p") + 1).cast("bigint"))
                 .join(major, "pos").where("base <> major")
                 .select("fingerprint", "pos", "base"), "minor-alleles")
 
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    shape = sizes.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("g")).first()
-    observed = (members.groupBy("grp", "fingerprint").agg(F.count(F.lit(1)).alias("n"))
-                .select(F.lit(0).alias("rep"), "grp", "fingerprint", "n"))
-    dealt = observed
-    if permutations:
-        dealt = observed.unionByName(
-            shuffle_labels(members, sizes, permutations, seed, shape["total"]))
+    sizes = members.groupBy("grp").agg(F.sum("n").alias("n"))
+    groups = group_sizes(members)
+    numbered = minor.select("fingerprint", (F.col("pos") * 256 + F.ascii("base")).alias("allele"))
+    drawn = members.join(numbered, "fingerprint").select(
+        F.lit(0).alias("rep"), "grp", "allele", F.col("n").cast("double").alias("c"))
+    if permutations and groups:
+        own = numbered.groupBy("fingerprint").agg(F.sort_array(F.collect_list("allele")).alias("alleles"))
+        none = F.expr("cast(array() AS array<bigint>)")
+        haplotypes = (members.groupBy("fingerprint").agg(F.sum("n").alias("n"))
+                      .join(own, "fingerprint", "left")
+                      .select("fingerprint", "n", F.coalesce("alleles", none).alias("alleles")))
+        drawn = drawn.unionByName(drawn_alleles(
+            haplotypes, "fingerprint", "alleles", major.count(), groups, permutations, seed))
     reps = members.sparkSession.range(permutations + 1).select(F.col("id").cast("int").alias("rep"))
-    alleles = (dealt.join(minor, "fingerprint").groupBy("rep", "grp", "pos", "base")
-               .agg(F.sum("n").cast("double").alias("c"))
+    alleles = (drawn.groupBy("rep", "grp", "allele").agg(F.sum("c").alias("c"))
+               .select("rep", "grp", F.expr("allele div 256").alias("pos"), F.expr("allele % 256").alias("base"), "c")
                .join(sizes.select("grp", F.col("n").cast("double").alias("size")), "grp"))
-    g = float(shape["g"])
+    g = float(len(groups))
     per_group_site = alleles.groupBy("rep", "grp", "pos", "size").agg(
         F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"))
     size, m = F.col("size"), F.col("m")
@@ -305,24 +276,24 @@ def permutation_statistics(samples: DataFrame, group: str, permutations: int, se
 def pairwise_permutation_fst(samples: DataFrame, group: str, permutations: int, seed: int) -> DataFrame:
     """Global FST per replicate under pairwise deletion: ``rep, fst``; ``rep`` 0 is observed.
 
-    Distances of distinct sequences are compared block by block; a block pair receives the
+    Labels are drawn for distinct sequences (``draws``), not samples. Distances of distinct sequences are compared block by block; a block pair receives the
     label counts of its own sequences for a slice of the replicates and returns group sums.
     """
     base = grouped(samples, group).withColumn("fingerprint", F.sha2("sequence", 256))
-    members = cut(base.select("sample_idx", "grp", "fingerprint"), "members")
     units = cut(base.groupBy("fingerprint").agg(F.min("sample_idx").alias("idx"), F.first("sequence").alias("sequence")), "units")
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    shape = sizes.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).first()
-    dealt = members.groupBy("grp", "fingerprint").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(0).alias("rep"), "grp", "fingerprint", "n")
-    if permutations:
-        dealt = dealt.unionByName(shuffle_labels(members, sizes, permutations, seed, shape["total"]))
+    copies = cut(base.groupBy("grp", "fingerprint").agg(F.count(F.lit(1)).alias("n")).join(
+        units.select("fingerprint", "idx"), "fingerprint"), "members")
+    groups = group_sizes(copies)
+    dealt = copies.select(F.lit(0).alias("rep"), "grp", "idx", "n")
+    if permutations and groups:
+        dealt = dealt.unionByName(drawn_labels(
+            copies.groupBy("idx").agg(F.sum("n").alias("n")), "idx", groups, permutations, seed))
     placed = cut(_placed(units, "idx"), "units")
     slices = F.explode(F.sequence(F.lit(0), F.lit(permutations // REPLICATE_SLICE))).alias("slice")
     left = block_pairs(placed.select("idx", "sequence", "__block", "__blocks"), "idx", "__block", "__blocks").select("*", slices)
     # fresh columns: both sides of the cogroup come from one table
-    where = placed.select("fingerprint", *[F.col(c).alias(c) for c in ("idx", "__block", "__blocks")])
-    counts = block_pairs(dealt.join(where, "fingerprint").select(
+    where = placed.select(*[F.col(c).alias(c) for c in ("idx", "__block", "__blocks")])
+    counts = block_pairs(dealt.join(where, "idx").select(
         "rep", "grp", "idx", "n", "__block", "__blocks", F.expr(f"rep div {REPLICATE_SLICE}").cast("int").alias("slice")),
         "idx", "__block", "__blocks")
 
@@ -361,11 +332,11 @@ def pairwise_permutation_fst(samples: DataFrame, group: str, permutations: int,
             .applyInPandas(work, "rep int, a string, b string, pairs double, dist double")
             .groupBy("rep", "a", "b").agg((F.sum("dist") / F.nullif(F.sum("pairs"), F.lit(0.0))).alias("pi")))
     inside = F.col("a") == F.col("b")
-    g = shape["g"]
+    g = len(groups)
     whole = ((F.count_if(inside & F.col("pi").isNotNull()) == g)
              & (F.count_if(~inside & F.col("pi").isNotNull()) == g * (g - 1) // 2))
     within, between = F.avg(F.when(inside, F.col("pi"))), F.avg(F.when(~inside, F.col("pi")))
-    usable = F.lit(g >= 2 and shape["least"] >= 2)
+    usable = F.lit(g >= 2 and min(n for _, n in groups) >= 2)
     return sums.groupBy("rep").agg(
         F.when(usable & whole & (between > 0), 1.0 - within / between).alias("fst"))
 
@@ -376,7 +347,8 @@ def permutation_test(samples: DataFrame, group: str, permutations: int = 999,
 
     P = (extreme + 1) / (valid + 1) with ``>=``; values are compared after rounding to twelve
     digits, so that equal partitions tie whatever the order of summation. The policy concerns
-    FST only; AMOVA always uses the sites callable in every sample.
+    FST only; AMOVA always uses the sites callable in every sample. Names and sizes of the groups
+    are sent to every task.
     """
     check_policy(policy)
     stats = permutation_statistics(samples, group, permutations, seed)

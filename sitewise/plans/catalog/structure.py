@@ -106,14 +106,41 @@ def amova(spark, d):
 
 
 PERMUTATIONS = 999
+
+
+def _draws(reps: int) -> str:
+    """Group counts of haplotypes drawn down a binary tree: ``mem(grp, hid)`` -> ``sz``, ``lb(rep, grp, hid, n)``.
+
+    A row of ``tr`` is a node with its group counts ``c`` and those of its left child drawn so far,
+    ``x``; a step draws the next group or, when all are drawn, replaces the node by its children.
+    """
+    log_choose = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)".format
+    mass = (f"exp({log_choose('kk', 'v')} + {log_choose('(nn - kk)', '(mm - v)')} - ({log_choose('nn', 'mm')}))")
+    return f"""sz AS MATERIALIZED (SELECT grp, count(*) AS n FROM mem GROUP BY grp),
+ hz AS MATERIALIZED (SELECT hid, n, row_number() OVER (ORDER BY hid) - 1 AS unit FROM (SELECT hid, count(*) AS n FROM mem GROUP BY hid)),
+ nd AS MATERIALIZED (SELECT lev, unit >> lev AS k, sum(n)::BIGINT AS s FROM hz, (SELECT unnest(range(0, 33)) AS lev) GROUP BY ALL),
+ gl AS (SELECT list(n ORDER BY grp) AS c, list(grp ORDER BY grp) AS names FROM sz),
+ tr AS (SELECT r.rep, (SELECT ceil(log2(max(unit) + 1)) FROM hz)::BIGINT AS lev, 0::BIGINT AS k, c, []::BIGINT[] AS x
+  FROM gl, (SELECT unnest(range(1, {reps + 1})) AS rep) r
+  UNION ALL
+  SELECT rep, CASE WHEN full_ THEN lev - 1 ELSE lev END, CASE WHEN full_ THEN 2 * k + side ELSE k END,
+   CASE WHEN NOT full_ THEN c WHEN side = 0 THEN x ELSE list_transform(list_zip(c, x), lambda z: z[1] - z[2]) END,
+   CASE WHEN full_ THEN []::BIGINT[] ELSE x || [CASE WHEN lo = hi THEN lo ELSE lo + len(list_filter(range(1, hi - lo + 2),
+    lambda j: list_sum(p[1:j]) < (('0x' || substr(md5('1729:' || rep || ':' || lev || ':' || k || ':' || len(x)), 1, 13))::BIGINT + 0.5) / 4503599627370496e0)) END] END
+  FROM (SELECT *, CASE WHEN lo < hi THEN list_transform(range(lo, hi + 1), lambda v: {mass}) END AS p
+   FROM (SELECT *, greatest(0, mm + kk - nn) AS lo, least(mm, kk) AS hi
+    FROM (SELECT tr.*, len(x) = len(c) AS full_, c[len(x) + 1] AS kk, list_sum(c[len(x) + 1:])::BIGINT AS nn,
+      l.s - coalesce(list_sum(x), 0)::BIGINT AS mm, r.k IS NOT NULL AS two
+     FROM tr JOIN nd l ON l.lev = tr.lev - 1 AND l.k = 2 * tr.k LEFT JOIN nd r ON r.lev = tr.lev - 1 AND r.k = 2 * tr.k + 1 WHERE tr.lev > 0))) q,
+   (SELECT unnest([0, 1]) AS side) WHERE CASE WHEN full_ THEN side = 0 OR two ELSE side = 0 END),
+ lb AS MATERIALIZED (SELECT rep, grp, hid, n FROM (SELECT rep, hid, unnest(names) AS grp, unnest(tr.c) AS n FROM tr JOIN hz ON unit = k, gl WHERE lev = 0) WHERE n > 0
+  UNION ALL SELECT 0, grp, hid, count(*) FROM mem GROUP BY ALL)"""
+
+
 _PERM = f"""hs AS (SELECT sample_idx, grp, string_agg(base, '' ORDER BY pos) FILTER (pos IN (SELECT pos FROM oc)) AS sig FROM cells GROUP BY ALL),
- hid AS (SELECT sig, row_number() OVER () AS hid FROM (SELECT DISTINCT sig FROM hs)),
+ hid AS (SELECT sig, min(sample_idx) AS hid FROM hs GROUP BY sig),
  mem AS (SELECT sample_idx, grp, hid FROM hs JOIN hid USING (sig)),
- sz AS (SELECT grp, count(*) AS n, sum(count(*)) OVER (ORDER BY grp) AS hi FROM mem GROUP BY grp),
- rk AS (SELECT r.rep, hid, row_number() OVER (PARTITION BY r.rep ORDER BY ('0x' || substr(md5('1729:' || r.rep || ':' || sample_idx), 1, 15))::BIGINT, sample_idx) AS k
-  FROM mem, (SELECT unnest(range(1, {PERMUTATIONS + 1})) AS rep) r),
- lb AS (SELECT rep, sz.grp, hid, count(*) AS n FROM rk JOIN sz ON k > sz.hi - sz.n AND k <= sz.hi GROUP BY ALL
-  UNION ALL SELECT 0, grp, hid, count(*) FROM mem GROUP BY ALL),
+ {_draws(PERMUTATIONS)},
  ha AS (SELECT hid, q.i, substr(sig, q.i, 1) AS base FROM hid, (SELECT unnest(range(1, (SELECT count(*) FROM oc) + 1)) AS i) q),
  va AS (SELECT i FROM ha GROUP BY i HAVING count(DISTINCT base) > 1),
  ac AS (SELECT rep, grp, i, base, sum(n)::DOUBLE AS c FROM lb JOIN ha USING (hid) WHERE i IN (SELECT i FROM va) GROUP BY ALL),
@@ -133,18 +160,14 @@ _PERM = f"""hs AS (SELECT sample_idx, grp, string_agg(base, '' ORDER BY pos) FIL
  FROM lg JOIN ob USING (statistic) GROUP BY statistic, observed"""
 
 
-@query("permutation_test", "WITH {cells}, " + _GS + ", " + _PERM)
+@query("permutation_test", "WITH RECURSIVE {cells}, " + _GS + ", " + _PERM)
 def permutation_test(spark, d):
     return rounded(st.permutation_test(samples(spark, d), "grp", PERMUTATIONS, 1729),
                    "observed", "p_value")
 
 
 _PERM_PW = f"""mem AS (SELECT sample_idx, coalesce(nullif(trim(grp), ''), '(missing)') AS grp, u.idx AS hid FROM samples s JOIN uniq u USING (sequence)),
- sz AS (SELECT grp, count(*) AS n, sum(count(*)) OVER (ORDER BY grp) AS hi FROM mem GROUP BY grp),
- rk AS (SELECT r.rep, hid, row_number() OVER (PARTITION BY r.rep ORDER BY ('0x' || substr(md5('1729:' || r.rep || ':' || sample_idx), 1, 15))::BIGINT, sample_idx) AS k
-  FROM mem, (SELECT unnest(range(1, 100)) AS rep) r),
- lb AS MATERIALIZED (SELECT rep, sz.grp, hid, count(*) AS n FROM rk JOIN sz ON k > sz.hi - sz.n AND k <= sz.hi GROUP BY ALL
-  UNION ALL SELECT 0, grp, hid, count(*) FROM mem GROUP BY ALL),
+ {_draws(99)},
  ps AS (SELECT x.rep, least(x.grp, y.grp) AS a, greatest(x.grp, y.grp) AS b, sum(x.n * y.n) AS w, sum(x.n * y.n * diff / valid) AS d
   FROM dist JOIN lb x ON x.hid = i JOIN lb y ON y.hid = j AND y.rep = x.rep GROUP BY ALL
   UNION ALL SELECT x.rep, x.grp, y.grp, sum(CASE WHEN x.grp = y.grp THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END), 0 FROM lb x JOIN lb y ON x.rep = y.rep AND x.hid = y.hid AND x.grp <= y.grp GROUP BY ALL),
@@ -154,7 +177,7 @@ _PERM_PW = f"""mem AS (SELECT sample_idx, coalesce(nullif(trim(grp), ''), '(miss
  round((count(*) FILTER (rep > 0 AND v >= observed) + 1) / (count(*) FILTER (rep > 0) + 1), 9) AS p_value FROM fs, o GROUP BY observed"""
 
 
-@query("permutation_test_pairwise", "WITH {samples}, uniq AS (SELECT sequence, min(sample_idx) AS idx, count(*) AS n FROM samples GROUP BY sequence), "
+@query("permutation_test_pairwise", "WITH RECURSIVE {samples}, uniq AS (SELECT sequence, min(sample_idx) AS idx, count(*) AS n FROM samples GROUP BY sequence), "
        "uc AS (SELECT idx, q.pos, substr(sequence, q.pos, 1) AS base FROM uniq, (SELECT unnest(range(1, 65)) AS pos) q WHERE substr(sequence, q.pos, 1) IN ('A','C','G','T')), "
        "dist AS MATERIALIZED (SELECT a.idx AS i, b.idx AS j, count(*) AS valid, count(*) FILTER (a.base <> b.base) AS diff FROM uc a JOIN uc b ON a.pos = b.pos AND a.idx < b.idx GROUP BY ALL), " + _PERM_PW)
 def permutation_test_pairwise(spark, d):

@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 from collections import Counter
+from fractions import Fraction
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from sitewise.functions.sequence import harmonic
 from sitewise.operators import distance as ds
 from sitewise.operators import diversity as dv
+from sitewise.operators import draws as dw
 from sitewise.operators import haplotypes as hp
 from sitewise.operators import ordination as od
 from sitewise.operators import pairs as pr
@@ -132,22 +135,104 @@ def test_fst_and_permutations(make, policy, monkeypatch):
 
     observed = fst([group(r) for r in rows])
     assert st.global_fst(frame, "grp", policy).first()["global_fst"] == pytest.approx(observed)
-    from hashlib import md5
     order = sorted(group(r) for r in rows)
+    if policy == "complete":
+        kind = ["".join(r[2][p] for p in sites) for r in rows]
+    else:
+        kind = [r[2] for r in rows]
+    first = sorted({kind.index(k) for k in kind})
+    units = [[i for i, k in enumerate(kind) if k == kind[f]] for f in first]
     extreme = 0
     for rep in range(1, 31):
-        ranked = sorted(range(len(rows)), key=lambda i: (int(md5(f"5:{rep}:{i}".encode()).hexdigest()[:15], 16), i))
         labels = [None] * len(rows)
-        for place, i in enumerate(ranked):
-            labels[i] = order[place]
+        for unit, counts in zip(units, draw_by_tree([len(u) for u in units], [order.count(g) for g in groups], f"5:{rep}")):
+            dealt = [g for g, c in zip(groups, counts) for _ in range(c)]
+            assert len(dealt) == len(unit)
+            for i, g in zip(unit, dealt):
+                labels[i] = g
+        assert sorted(labels) == order
         extreme += round(fst(labels), 12) >= round(observed, 12)
-    for limit in (1 << 16, 2):  # the second run ranks through prefix buckets
-        monkeypatch.setattr(st, "RANK_ROWS", limit)
+    for level in (12, 1):  # the second run has many blocks of two haplotypes below a common tree
+        monkeypatch.setattr(dw, "BLOCK_LEVEL", level)
         got = st.permutation_test(frame, "grp", 30, 5, policy).where("statistic = 'fst'").first()
         assert (got["permutation_count"], got["extreme"]) == (30, extreme)
         assert got["p_value"] == pytest.approx((extreme + 1) / 31)
 
 
+def draw_by_tree(sizes, groups, name):
+    """Group counts of each haplotype, one node at a time with exact fractions."""
+    out = [None] * len(sizes)
+
+    def visit(level, node, counts):
+        if level == 0:
+            out[node] = counts
+            return
+        half = 1 << (level - 1)
+        left = sizes[node * 2 * half:node * 2 * half + half]
+        right = sizes[node * 2 * half + half:(node + 1) * 2 * half]
+        rest, room, taken = sum(counts), sum(left), []
+        for g, marked in enumerate(counts):
+            low, high = max(0, room + marked - rest), min(marked, room)
+            x = low
+            if low < high:
+                digest = md5(f"{name}:{level}:{node}:{g}".encode()).hexdigest()
+                u = Fraction(2 * int(digest[:13], 16) + 1, 2 ** 53)
+                chance = lambda v: Fraction(math.comb(marked, v) * math.comb(rest - marked, room - v), math.comb(rest, room))  # noqa: E731, B023
+                below = chance(x)
+                while below < u:
+                    x += 1
+                    below += chance(x)
+            taken.append(x)
+            rest, room = rest - marked, room - x
+        visit(level - 1, 2 * node, taken)
+        if right:
+            visit(level - 1, 2 * node + 1, [c - x for c, x in zip(counts, taken)])
+
+    visit((len(sizes) - 1).bit_length(), 0, list(groups))
+    return out
+
+
+def test_draws_are_permutations_of_labels(spark, monkeypatch):
+    sizes, groups = [40, 1, 1, 2, 7, 1, 12, 1, 1, 3, 1], [("a", 30), ("b", 29), ("c", 1), ("d", 10)]
+    units = spark.createDataFrame(list(enumerate(sizes, 100)), "idx long, n long")
+    tables = []
+    for level, cells in ((12, 1 << 22), (2, 1 << 22), (0, 1 << 22), (12, 64)):  # one block, blocks of 4, of 1, small slices
+        monkeypatch.setattr(dw, "BLOCK_LEVEL", level)
+        monkeypatch.setattr(dw, "CELLS", cells)
+        tables.append(dw.drawn_labels(units, "idx", groups, 300, 9).toPandas().sort_values(["rep", "grp", "idx"]).reset_index(drop=True))
+    table = tables[0]
+    assert all(table.equals(t) for t in tables[1:])
+    assert (table["n"] > 0).all() and set(table["rep"]) == set(range(1, 301))
+    assert (table.groupby(["rep", "idx"])["n"].sum().unstack() == sizes).all(axis=None)
+    assert (table.groupby(["rep", "grp"])["n"].sum().unstack() == [n for _, n in groups]).all(axis=None)
+    # moments of the hypergeometric law: 40 of 70 samples, 30 labels "a"
+    big = table[(table["idx"] == 100) & (table["grp"] == "a")]["n"]
+    mean, var = 40 * 30 / 70, 40 * (30 / 70) * (40 / 70) * (30 / 69)
+    assert abs(big.mean() - mean) < 4 * math.sqrt(var / 300)
+    assert 0.7 * var < big.var() < 1.4 * var
+    rare = table[table["grp"] == "c"]["idx"].value_counts()  # one label goes to a haplotype in proportion to its samples
+    assert abs(rare[100] - 300 * 40 / 70) < 4 * math.sqrt(300 * (40 / 70) * (30 / 70))
+
+
+def test_wide_draws_follow_the_hypergeometric_law():
+    """A thousand quantiles of one draw from a million samples: mean, spread and order."""
+    u = (np.arange(1000) + 0.5) / 1000
+    n, k, m = 1_000_000, 300_000, 400_000
+    x = dw.hypergeometric(*(np.full(1000, v) for v in (n, k, m)), lambda at: u[at])
+    sd = math.sqrt(m * (k / n) * (1 - k / n) * (n - m) / (n - 1))
+    assert (np.diff(x) >= 0).all() and abs(x.mean() - m * k / n) < 1
+    assert x.std() == pytest.approx(sd, rel=0.01)
+    assert dw.hypergeometric(*np.array([[5, 5, 0, 3], [0, 5, 0, 1], [2, 3, 0, 3]]), None).tolist() == [0, 3, 0, 1]
+
+
+def test_permutations_without_samples_or_groups(make):
+    assert [r["p_value"] for r in st.permutation_test(make([]), "grp", 5, 1).collect()] == [None, None]
+    one = st.permutation_test(make([("a", "x", "ACGT"), ("b", "x", "ACGA")]), "grp", 5, 1).collect()
+    assert [r["p_value"] for r in one] == [None, None]
+    none = st.permutation_test(make([("a", "x", "ACGT"), ("b", "y", "ACGA")]), "grp", 0, 1).collect()
+    assert [r["permutation_count"] for r in none] == [0, 0]
+
+
 def test_distances_across_blocks(make, monkeypatch):
     rows = random_rows(11, n=40)
     frame = ds.distinct_sequences(make(rows))
