@@ -66,7 +66,7 @@ def analyze_distance(samples: DataFrame, min_sites: int = 1, min_coverage: float
         rows.select("idx", F.sha2("sequence", 256).alias("f")), "f").drop("f")
     facts = ds.distance_summary(pairs)
     warnings = facts.where("unavailable > 0").select(F.lit("distance").alias("scope"), F.lit("pairs_below_coverage").alias("code")).unionByName(
-        sm.symbol_violations(samples, "distance").limit(1).select(F.lit("distance").alias("scope"), F.lit("unrecognised_symbols").alias("code")))
+        sm.symbol_violations(samples, "distance").limit(1).select(F.lit("distance").alias("scope"), F.lit("unrecognised_symbols").alias("code"))).unionByName(od.ordination_warnings(spectrum, rows, facts))
     return {"sequences": rows, "members": members, "pairs": pairs, "called": ds.called_sites(rows), "summary": facts,
             "low_coverage": ds.low_coverage_examples(pairs), "coordinates": coordinates, "spectrum": spectrum, "warnings": warnings}
 

@@ -274,6 +274,21 @@ def test_pcoa_matches_dense_solution(make):
     assert an.sample_distances(out["pairs"], out["members"]).count() == 15
 
 
+def test_distance_warnings(make, spark):
+    def warned(sequences, **options):
+        out = an.analyze_distance(make([(f"s{i}", "a", s) for i, s in enumerate(sequences)]), **options)
+        return {r["code"] for r in out["warnings"].collect()}
+
+    assert warned(["ACGT"]) == {"pcoa_needs_two_samples"}
+    assert warned(["ACGT", "ACGT"]) == {"no_positive_axis"}
+    assert warned(["ACGT", "ACGA"]) == set()
+    assert warned(["ACNN", "NNGT", "ACGT"]) == {"pairs_below_coverage", "pcoa_missing_distances"}
+    spectrum = spark.createDataFrame([(1, 0.01, True), (2, 0.01, False)], "axis int, negative_ratio double, converged boolean")
+    rows = spark.createDataFrame([(0, 2), (1, 1)], "idx long, n long")
+    summary = spark.createDataFrame([(1, 0)], "pairs long, unavailable long")
+    assert {r["code"] for r in od.ordination_warnings(spectrum, rows, summary).collect()} == {"pcoa_not_converged", "non_euclidean_distances"}
+
+
 def test_pcoa_has_one_definition_at_every_size(spark):
     rng = np.random.default_rng(4)
     d = np.triu(rng.random((30, 30)), 1)
