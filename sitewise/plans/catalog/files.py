@@ -66,12 +66,13 @@ def _blocked(spark, d, wrapped):
     size = s.groupBy("nation").agg(F.count(F.lit(1)).alias("n"))
     lines = s.select("nation", "sample_idx", F.posexplode(F.array(
         F.concat("sample", F.lit(" "), F.expr("substring(sequence, 1, 20)")), F.expr("substring(sequence, 21, 22)"), F.expr("substring(sequence, 43)"))).alias("k", "value"))
-    order = ["nation", "sample_idx", "k"] if wrapped else ["nation", "k", "sample_idx"]
-    rank = F.struct(*order[1:])
-    text = (lines.groupBy("nation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "value"))), lambda x: x["value"]), "\n").alias("t"))
-            .join(size, "nation").select("nation", F.concat(F.lit(" "), F.col("n").cast("string"), F.lit(" 64\n"), "t").alias("value")))
+    order = ["sample_idx", "k"] if wrapped else ["k", "sample_idx"]
+    head = size.select("nation", F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("sample_idx"), F.lit(0).alias("k"),
+                       F.concat(F.lit(" "), F.col("n").cast("string"), F.lit(" 64")).alias("value"))
+    text = (head.unionByName(lines.withColumn("part", F.lit(1))).where("nation IS NOT NULL AND value IS NOT NULL")
+            .repartition("nation").sortWithinPartitions("nation", "part", *order, "value"))
     path = scratch_path(spark, "phylip")
-    text.write.partitionBy("nation").text(path)
+    text.select("nation", "value").write.partitionBy("nation").text(path)
     return sq.read_phylip(spark, path + "/*/*.txt").select("sample", "sequence")
 
 

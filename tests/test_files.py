@@ -1,5 +1,6 @@
 """File formats, conversions and text rules on hand-written input."""
 
+import hashlib
 import random
 
 import pytest
@@ -330,3 +331,18 @@ def test_standardise_keeps_name_when_index_is_out_of_range(spark):
     got = sm.standardize(rows, sm.Standardisation(name=sm.Split(".", 1), discrete=sm.Split(".", 0), numbering=False)).orderBy("sample_idx").collect()
     assert [(r["id"], r["sample"], r["discrete"]) for r in got] == [(1, "b", "a"), (2, "c", "c")]
     assert sm.standardize(rows, sm.Standardisation(remove_ambiguous=True, numbering=True, start_id=5)).first()["sample"] == "5"
+
+
+def test_wrapped_phylip_with_repeated_fragments(spark, put, monkeypatch):
+    """Continuation lines that look like repeated names do not meet each other."""
+    rows = 60
+    text = f"{rows} 30\n" + "".join(f"s{k} ACGTACGTAC\nACGTACGTAC\nACGTACGTA{'CG'[k % 2]}\n" for k in range(rows))
+    sizes, assemble = [], sq._assemble
+
+    def counted(parts):
+        sizes.append(parts.count())
+        return assemble(parts)
+    monkeypatch.setattr(sq, "_assemble", counted)
+    got = sq.read_phylip(spark, [put("w.phy", text), put("x.phy", "2 6\na ACG\nTTT\nb ACG\nTTA\n")])
+    assert max(sizes) <= 3 * rows + 4
+    assert records(got) == [(f"s{k}", "ACGTACGTAC" * 2 + "ACGTACGTA" + "CG"[k % 2]) for k in range(rows)] + [("a", "ACGTTT"), ("b", "ACGTTA")]
