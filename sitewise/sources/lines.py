@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +15,20 @@ def document_of(file_path: Column) -> Column:
     return F.regexp_replace(file_path, r"/part-\d{5,}-[0-9a-f-]{36}[^/]*$", "")
 
 
-def ordered_text(spark: SparkSession, path: str | list[str], line_sep: str | None = None) -> DataFrame:
+def ordered_text(spark: SparkSession, path: str | list[str], line_sep: str | None = None,
+                 document: Callable[[Column], Column] = document_of) -> DataFrame:
     """``file, line`` (0-based inside its file), ``row`` (0-based over all files) and ``value``.
 
     A split's records are contiguous, so a record's number is its place inside the split plus the
     sizes of the splits before it. Only one row per split is ever ordered. The parts of a folder
-    that Spark wrote are one file, in the order of their names.
+    that Spark wrote are one file, in the order of their names; ``document`` says what one file is.
     """
     reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
     raw = reader.text(path).select(
         "value", F.col("_metadata.file_path").alias("__part"),
         F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
     splits = raw.groupBy("__part", "__start").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first")).withColumn(
-        "file", document_of(F.col("__part")))
+        "file", document(F.col("__part")))
     def before(w: Window) -> F.Column:
         return F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = splits.select(

@@ -346,3 +346,22 @@ def test_wrapped_phylip_with_repeated_fragments(spark, put, monkeypatch):
     got = sq.read_phylip(spark, [put("w.phy", text), put("x.phy", "2 6\na ACG\nTTT\nb ACG\nTTA\n")])
     assert max(sizes) <= 3 * rows + 4
     assert records(got) == [(f"s{k}", "ACGTACGTAC" * 2 + "ACGTACGTA" + "CG"[k % 2]) for k in range(rows)] + [("a", "ACGTTT"), ("b", "ACGTTA")]
+
+
+def test_fingerprints_of_large_files_are_read_in_splits(spark, tmp_path):
+    data = bytes(range(256)) * 40 + b"tail\r\n\n"
+    names = {"a b+%41{x}.bin": data, "same.bin": data, "cut.bin": data[:-1], "moved.bin": data[256:] + data[:256], "small.bin": b"x"}
+    for name, content in names.items():
+        (tmp_path / name).write_bytes(content)
+
+    def prints(whole, size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            return {r["file"]: r["fingerprint"] for r in tb.file_fingerprints(spark, f"file://{tmp_path}/*.bin", whole).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert prints(1 << 20, "128m") == {n: hashlib.sha256(c).hexdigest() for n, c in names.items()}
+    got = prints(100, "1000")
+    assert got == prints(100, "128m") and set(got) == set(names)
+    assert got["a b+%41{x}.bin"] == got["same.bin"] and len(set(got.values())) == 4
+    assert got["small.bin"] == hashlib.sha256(b"x").hexdigest()
