@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewise.llm.words import SHINGLE, WordHashes, mix, pieces, shingles, signed, texts_of
+from sitewise.llm.words import SHINGLE, mix, pieces, shingle_sets, signed, texts_of
 from sitewise.operators.graph import component_labels
 from sitewise.storage import cut, cut_counted
 
@@ -33,14 +33,19 @@ BITMAP = 512
 BLOCK_ROWS = 4096
 _SEEN = 1 << 18
 FILTER_BITS = 23
+_ROWS = 512  # texts that a task holds as words and shingles at a time
 
 
-def node_of(cols: np.ndarray) -> int:
-    """Identity of a set of shingles: a 63-bit hash of its sorted members."""
-    if not len(cols):
-        return -1
-    key = mix(cols * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(cols)))
-    return int(mix(np.array([key.sum(dtype=np.uint64)], np.uint64))[0] >> np.uint64(1))
+def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Identity of each set of shingles: a 63-bit hash of its sorted members, -1 for an empty one."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    out = np.full(len(sets), -1, np.int64)
+    if sizes.any():
+        key = mix(np.concatenate(sets) * np.uint64(0x9E3779B97F4A7C15) + np.repeat(sizes, sizes).astype(np.uint64))
+        some = sizes > 0
+        sums = np.add.reduceat(key, (np.cumsum(sizes) - sizes)[some])
+        out[some] = (mix(sums) >> np.uint64(1)).astype(np.int64)
+    return out
 
 
 def text_key(docs: DataFrame) -> Column:
@@ -53,10 +58,15 @@ def body_of(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def bitmap_of(cols: np.ndarray) -> bytes:
-    """Parity bit map: two maps differ in at most as many bits as the sets have different members."""
-    counts = np.bincount((mix(cols) & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+def bitmaps_of(sets: list[np.ndarray]) -> list[bytes | None]:
+    """Parity bit maps: two maps differ in at most as many bits as the sets have different members."""
+    sizes = [len(s) for s in sets]
+    if not sum(sizes):
+        return [None] * len(sets)
+    at = (mix(np.concatenate(sets)) & np.uint64(BITMAP - 1)).astype(np.int64) + BITMAP * np.repeat(np.arange(len(sets)), sizes)
+    counts = np.bincount(at, minlength=BITMAP * len(sets)).reshape(len(sets), BITMAP)
+    packed = np.packbits((counts & 1).astype(np.uint8), axis=1)
+    return [row.tobytes() if n else None for row, n in zip(packed, sizes)]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -73,18 +83,16 @@ _MEMBER_DDL = "doc_id long, node long, n long, bits binary, body long, key long,
 def _members(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document and, at the end, the counters of the partition."""
-        hashes = WordHashes()
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
-        for batch in pieces(batches):
-            rows = []
-            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key")), texts_of(batch)):
-                text = text.lower()
-                cols = shingles(hashes.of(text.split()), width)
-                rows.append((doc, node_of(cols), len(cols), bitmap_of(cols) if len(cols) else None, body_of(text),
-                             key, None, None))
-                counts[cols >> np.uint64(64 - SKETCH_BITS)] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MEMBER)], schema=_MEMBER)
+        for batch in pieces(batches, _ROWS):
+            texts = [t.lower() for t in texts_of(batch)]
+            if not texts:
+                continue
+            sets = shingle_sets(texts, width)
+            np.add.at(counts, np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), 1)
+            rows = (batch.column("doc_id"), nodes_of(sets), [len(s) for s in sets], bitmaps_of(sets),
+                    [body_of(t) for t in texts], batch.column("key"), *([[None] * len(texts)] * 2))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _MEMBER)], schema=_MEMBER)
         for part in range(0, len(counts), _PART):
             if counts[part:part + _PART].any():
                 packed = zlib.compress(counts[part:part + _PART].tobytes(), 1)
@@ -123,12 +131,11 @@ _ENTRY_DDL = "col long, block int, blocks int, pos int, n int, node long"
 
 def _entries(levels: Broadcast, width: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for batch in pieces(batches):
+        seen: set[int] = set()
+        for batch in pieces(batches, _ROWS):
             out: list[list[np.ndarray]] = [[] for _ in _ENTRY]
-            for text in texts_of(batch):
-                cols = shingles(hashes.of(text.lower().split()), width)
-                node = node_of(cols)
+            sets = shingle_sets(texts_of(batch), width)
+            for cols, node in zip(sets, nodes_of(sets).tolist()):
                 if not len(cols) or node in seen:
                     continue
                 if len(seen) >= _SEEN:
@@ -299,14 +306,17 @@ def _bodies(wanted: Broadcast):
 
 def _overlaps(width: int, percent: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept, last = WordHashes(), None, None
-        for batch in pieces(batches):
+        kept, last = None, None
+        for batch in pieces(batches, _ROWS):
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            new = [k for k in range(len(a)) if a[k] != (a[k - 1] if k else last)]
+            left = dict(zip(new, shingle_sets([x[k] for k in new], width)))
             out = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                if a != last:
-                    last, kept = a, shingles(hashes.of(x.split()), width)
-                if linked(kept, shingles(hashes.of(y.split()), width), percent):
-                    out.append((a, b))
+            for k, right in enumerate(shingle_sets(y, width)):
+                kept = left.get(k, kept)
+                if linked(kept, right, percent):
+                    out.append((a[k], b[k]))
+            last = a[-1] if a else last
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=_PAIR)
     return scan

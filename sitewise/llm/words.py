@@ -6,6 +6,7 @@ no other white space separates words. Hashes are 64-bit and the same in every pr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,66 @@ def shingles(hashes: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     return np.unique(window_hashes(hashes, width))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_AT_ONCE = 1 << 18
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of ``data`` start and their hashes: sums of mixed bytes and places, and the length."""
+    raw = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[raw]
+    edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    begins = np.cumsum(sizes) - sizes
+    place = np.arange(len(raw) - int((~inside).sum()), dtype=np.uint64) - np.repeat(begins, sizes).astype(np.uint64)
+    keyed = mix((place << np.uint64(8)) + raw[inside] + _ODD)
+    return starts, mix(np.add.reduceat(keyed, begins) + sizes.astype(np.uint64) * _ODD)
+
+
+def _spans(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring texts, or parts of a long one cut between words, of a bounded size where words allow it."""
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        if size and size + len(text) > _AT_ONCE:
+            yield first, texts[first:k]
+            first, size = k, 0
+        size += len(text)
+        if len(text) > _AT_ONCE:
+            at = 0
+            while at < len(text):
+                gap = _GAP.search(text, at + _AT_ONCE)
+                yield k, [text[at:gap.start() if gap else None]]
+                at = gap.start() if gap else len(text)
+            first, size = k + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
+    """``shingles`` of the lower-cased words of each text, hashed for many texts at a time."""
+    counts, parts = np.zeros(len(texts), np.int64), []
+    for first, span in _spans(texts):
+        starts, hashes = word_hashes(b" ".join(span).lower())
+        bounds = np.cumsum([0, *(len(t) + 1 for t in span)])
+        counts[first:first + len(span)] += np.diff(np.searchsorted(starts, bounds))
+        parts.append(hashes)
+    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    windows = window_hashes(hashes, width)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= width:
+            own = np.sort(windows[at:at + n - width + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        else:
+            out.append(shingles(hashes[at:at + n], width))
+        at += n
+    return out
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Batches cut to few rows, so that a task holds little besides what Spark sends at a time."""
     for batch in batches:

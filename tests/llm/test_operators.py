@@ -1,5 +1,6 @@
 """Training-data operators against brute force on small tables with nulls, ties and repeats."""
 
+import random
 import hashlib
 import math
 import re
@@ -11,6 +12,7 @@ import pytest
 
 from sitewise.llm import (brown, fingerprints, jaccard, linededup, mixing, packing, quality, secrets, substrings,
                           urlfilter)
+from sitewise.llm import words as wd
 from sitewise.llm.words import WordHashes
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, size string"
@@ -375,3 +377,21 @@ def test_copied_secret_is_an_example(spark):
     table = [(k, f"key {value} end", f"owner{k}", "en", ) for k in range(4)] + [(9, "key " + "Ab7" * 9, "owner0", "en")]
     got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(table, "doc_id bigint, text string, source string, lang string")).collect()}
     assert [(got[k].n_live, got[k].n_example, len(got[k].added)) for k in (0, 9)] == [(0, 1, 0), (1, 0, 1)]
+
+
+def test_shingle_sets_of_many_texts_at_once(monkeypatch):
+    """Sets do not depend on how texts are put together or cut, and nothing is kept between calls."""
+    rng, seen = random.Random(5), {}
+
+    def word(text: bytes):
+        return seen.setdefault(text, wd.word_hashes(text)[1][0])
+    for at_once in (3, 40, 1 << 18):
+        monkeypatch.setattr(wd, "_AT_ONCE", at_once)
+        for _ in range(40):
+            texts = [bytes(rng.choice(b"ab \n\x0b\xc3\xa0Q") for _ in range(rng.choice([0, 1, 5, 30, 200]))) for _ in range(rng.randrange(9))]
+            want = [wd.shingles(np.array([word(w) for w in t.lower().split()], np.uint64), 3) for t in texts]
+            got = wd.shingle_sets(texts, 3)
+            assert len(got) == len(want) and all(np.array_equal(a, b) for a, b in zip(got, want))
+            assert len(jaccard.nodes_of(got)) == len(jaccard.bitmaps_of(got)) == len(texts)
+    assert len(set(seen.values())) == len(seen) > 1000
+    assert jaccard.nodes_of([np.array([1, 2], np.uint64), np.zeros(0, np.uint64)])[1] == -1
