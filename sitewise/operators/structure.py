@@ -392,8 +392,9 @@ def structure_warnings(samples: DataFrame, group: str | None, policy: str) -> Da
 
 def square_matrix(pairs: DataFrame, left: str, right: str, value: str, labels: DataFrame) -> DataFrame:
     """Symmetric long matrix with a zero diagonal from one row per unordered pair."""
-    upper = pairs.select(F.col(left).alias("row"), F.col(right).alias("col"), F.col(value).alias("value"))
-    lower = upper.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")
+    # both sides come from one reading of the pairs
+    sides = F.array(*[F.struct(F.col(r).alias("row"), F.col(c).alias("col")) for r, c in ((left, right), (right, left))])
+    both = pairs.select(F.explode(sides).alias("z"), F.col(value).alias("value")).select("z.row", "z.col", "value")
     diagonal = labels.select(F.col(labels.columns[0]).alias("row"),
                              F.col(labels.columns[0]).alias("col"), F.lit(0.0).alias("value"))
-    return upper.unionByName(lower).unionByName(diagonal)
+    return both.unionByName(diagonal)

@@ -9,6 +9,7 @@ from sitewise.operators import structure as st
 from sitewise.plans.bridge import samples
 from sitewise.plans.catalog.diversity import _PAIRS, _SCOPED, rounded
 from sitewise.plans.registry import query
+from sitewise.storage import cut
 
 _GS = """gs AS (SELECT grp, pos, count(*) AS n, bool_and(base IN ('A','C','G','T')) AS complete FROM cells GROUP BY ALL),
 gc AS (SELECT grp, pos, base, count(*) AS c FROM cells WHERE base IN ('A','C','G','T') GROUP BY ALL),
@@ -267,8 +268,8 @@ def haplotype_distances(spark, d):
  unnest([2 * e, (SELECT count(*) FROM uniq WHERE n > 1), e]) AS cells
  FROM (SELECT count(*) FILTER (diff % 2 = 0 AND diff > 0) AS e FROM dist)""")
 def validate_distances(spark, d):
-    rows = ds.distinct_sequences(samples(spark, d))
-    pairs = ds.p_distance(rows)
+    rows = cut(ds.distinct_sequences(samples(spark, d)), "distinct")
+    pairs = cut(ds.p_distance(rows).select("i", "j", "diff", "distance"), "pairs")
     labels = rows.select("idx")
     matrix = st.square_matrix(pairs, "i", "j", "distance", labels)
     broken = (matrix.join(pairs.select(F.col("i").alias("row"), F.col("j").alias("col"), "diff"),

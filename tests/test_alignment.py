@@ -341,3 +341,27 @@ def test_harmonic_tail(spark):
 def test_dense_index_over_buckets(spark):
     ranks = dense_index(spark.range(0, 1000, 7).withColumnRenamed("id", "k"), "k", "r", width=16).orderBy("k").collect()
     assert [r["r"] for r in ranks] == list(range(1, len(ranks) + 1))
+
+
+def test_distance_checks_count_repeated_and_missing_cells(spark):
+    """Counts are those of the matrix joined with its mirror, without that join."""
+    rng = random.Random(7)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([1, 2, 3, None]), rng.choice([0.0, 1.0, -1.0, -0.0, None, float("nan")])) for _ in range(60)]
+    rows += [(8, 9, 0.5), (9, 8, 0.5), (8, 8, 0.0), (7, 6, -2.0)]
+    matrix = spark.createDataFrame(rows, "row bigint, col bigint, value double")
+    mirror = matrix.selectExpr("col AS row", "row AS col", "value AS m")
+    want = matrix.join(mirror, ["row", "col"], "left").selectExpr(
+        "count_if(NOT value <=> m)", "count_if(row = col AND NOT value <=> 0D)", "count_if(value < 0)").first()
+    got = ds.validate_distances(matrix)
+    assert [r["cells"] for r in got.collect()] == list(want)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["cells"] for r in ds.validate_distances(matrix.limit(0)).collect()] == [0, 0, 0]
+
+
+def test_block_pairs_are_dealt_to_several_tasks(spark):
+    rng = random.Random(3)
+    made = sorted({"".join(rng.choice("ACGT") for _ in range(12)) for _ in range(200)})
+    rows = spark.createDataFrame(list(enumerate(made)), "idx bigint, sequence string")
+    found = pr.sequence_pairs(rows).withColumn("task", F.spark_partition_id()).toPandas()
+    assert len(found) == len(made) * (len(made) - 1) // 2 and found["task"].nunique() > 1
+    assert all(d == sum(x != y for x, y in zip(made[i], made[j])) for i, j, d in zip(found["i"], found["j"], found["diff"]))
