@@ -86,13 +86,13 @@ def sample_distances(pairs: DataFrame, members: DataFrame) -> DataFrame:
 def analyze_topology(nodes: DataFrame, edges: DataFrame, members: DataFrame, assignments: DataFrame,
                      traits: DataFrame | None = None) -> dict[str, DataFrame]:
     """Graph, node and edge metrics with haplotype annotations and roles."""
+    nodes, edges = cut(nodes, "nodes"), cut(edges, "edges")  # every rule and measure below reads them
     problems = tp.validate_network(nodes, edges)
     first = problems.limit(5).collect()
     if first:
         raise ValueError("invalid network: " + ", ".join(f"{r['code']} {r['ref']}" for r in first))
     if "is_intermediate" not in nodes.columns:
         nodes = tp.flag_intermediate(nodes, "frequency")
-    nodes, edges = cut(nodes, "nodes"), cut(edges, "edges")
     components = cut(tp.connected_components(nodes, edges), "components")
     structure = decompose(edges)
     scores = block_scores(structure)
