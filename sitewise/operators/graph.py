@@ -8,11 +8,21 @@ adaptive execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitewise.storage import cut, cut_counted
 
+# Sources of a component are dealt to tasks so that each makes about WORK pairs. A task holds the
+# edges of one component; components with more than COMPONENT_EDGES are worked on by joins instead.
+WORK = 1 << 22
+COMPONENT_EDGES = 1 << 20
+# path sums have this many digits; up to EXACT they are whole numbers of their last digit in a double
+DIGITS = 10
+EXACT = 9e5
+
 
 def _mirrored(edges: DataFrame, key: list[str]) -> DataFrame:
     return edges.select(*key, "u", "v").unionByName(
@@ -98,17 +108,106 @@ def spanning_forest(edges: DataFrame, key: list[str], order: list[str]) -> DataF
         left = cut(left.where("cu <> cv"), "forest-edges")
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def _component_paths(sources: list, u: np.ndarray, v: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a connected component and the table of their distances from ``sources``, one column each.
+
+    Nodes are put in breadth-first order, in which a path goes down and up again; a sweep over the
+    nodes each way follows that for all sources at once, and sweeps go on until nothing changes.
+    """
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    near: list[list[tuple[int, float]]] = [[] for _ in ids]
+    for a, b, w in zip(ends[:len(u)].tolist(), ends[len(u):].tolist(), units.tolist()):
+        near[a].append((b, w))
+        near[b].append((a, w))
+    order, place = [0], {0: 0}
+    for node in order:
+        for other, _ in near[node]:
+            if other not in place:
+                place[other] = len(order)
+                order.append(other)
+    arcs = [[(place[b], w) for b, w in near[node]] for node in order]
+    above = [(p, q, w) for p in range(len(order) - 1, -1, -1) for q, w in arcs[p] if q > p]
+    below = [(p, q, w) for p in range(len(order)) for q, w in arcs[p] if q < p]
+    at = {x: place[k] for k, x in enumerate(ids.tolist())}
+    table = np.full((len(order), len(sources)), np.inf)
+    table[[at[x] for x in sources], np.arange(len(sources))] = 0.0
+    rows, other = list(table), np.empty(len(sources))
+    while True:
+        before = table.copy()
+        for p, q, w in above + below:
+            np.add(rows[q], w, out=other)
+            np.minimum(rows[p], other, out=rows[p])
+        if np.array_equal(before, table):
+            return ids[order], table
+
+
+def _path_task(sources: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    out = []
+    start = sources.groupby("label")["src"]
+    for label, own in edges.groupby("label"):
+        if label not in start.groups:
+            continue
+        src = start.get_group(label).to_numpy()
+        nodes, table = _component_paths(src.tolist(), own["u"].to_numpy(), own["v"].to_numpy(),
+                                        np.rint(own["distance"].to_numpy() * 10 ** DIGITS))
+        out.append((np.repeat(src, len(nodes)), np.tile(nodes, len(src)), table.T.ravel() / 10 ** DIGITS))
+    src, node, dist = (np.concatenate(part) for part in zip(*out)) if out else ([], [], [])
+    return pd.DataFrame({"src": src, "node": node, "dist": dist})
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,
+                   component_edges: int = COMPONENT_EDGES, work: int = WORK) -> DataFrame:
     """Weighted distances ``src, node, dist`` from every source (all nodes by default).
 
-    Frontier relaxation: only pairs improved in the last round are extended. Path sums are
-    rounded to ten digits, so that equally long paths compare as equal.
+    Path sums are rounded to ten digits, so that equally long paths compare as equal. Pairs are
+    quadratic in a component: its sources are dealt to tasks, which get its edges and about
+    ``work`` pairs each, so that a pair is made once and never shuffled. Components with more than
+    ``component_edges`` edges, or whose sums are not exact at the tenth digit, go by ``wide_paths``.
+    """
+    spark = nodes.sparkSession
+    starts = (sources if sources is not None else nodes).select(F.col("node_id").alias("src")).distinct()
+    ends = edges.select(F.col("source").alias("u"), F.col("target").alias("v"), "distance")
+    labels = cut(component_labels(ends), "path-labels")
+    def placed(df: DataFrame, node: Column) -> DataFrame:
+        return df.withColumn("node", node).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("node")
+    exact = (F.col("u").isNotNull() & F.col("v").isNotNull() & F.col("distance").between(0, EXACT)
+             & (F.col("distance") == F.round("distance", DIGITS)))
+    inside = cut(placed(ends, F.coalesce("u", "v")).where("label IS NOT NULL AND (u IS NULL OR v IS NULL OR u <> v)"), "path-edges")
+    starts = cut(placed(starts, F.col("src")), "path-sources")
+    size = inside.groupBy("label").agg(F.count(F.lit(1)).alias("m"), (
+        F.bool_and(F.coalesce(exact, F.lit(False))) & (F.sum("distance") <= EXACT)).alias("exact"))
+    size = starts.groupBy("label").agg(F.count(F.lit(1)).alias("k")).join(size, "label").withColumn(
+        "fits", F.coalesce(F.col("exact"), F.lit(False)) & (F.col("m") <= component_edges))
+    size = cut(size.withColumn("chunks", F.least("k", F.ceil(F.col("k") * F.col("m") / work)).cast("int")), "path-sizes")
+    facts = size.agg(F.sum(F.when(F.col("fits") & (F.col("chunks") == 1), F.col("k") * F.col("m"))).alias("small"),
+                     F.count_if(~F.col("fits")).alias("wide")).first()
+    # components with one chunk share tasks by their hash; other hashes are keys of their own
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bins = max(tasks, -(-(facts["small"] or 0) // work))
+    key = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label"))
+    dealt = size.where("fits").select("label", "chunks", key.alias("bin"))
+    own = starts.join(dealt, "label").select("bin", F.pmod(F.xxhash64("src"), F.col("chunks")).cast("int").alias("chunk"), "label", "src")
+    given = inside.join(dealt.toDF(*dealt.columns), "label").select("bin", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "label", "u", "v", "distance")
+    # rows are few bytes, which adaptive execution would put together, while the work grows with the pairs
+    both = [df.repartition(tasks, "bin", "chunk").groupBy("bin", "chunk") for df in (own, given)]
+    kind = starts.schema["src"].dataType.simpleString()
+    inner = both[0].cogroup(both[1]).applyInPandas(_path_task, f"src {kind}, node {kind}, dist double")
+    alone = starts.join(size, "label", "left_anti").select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"))
+    out = inner.unionByName(alone)
+    if facts["wide"]:
+        large = size.where("NOT fits").select("label")
+        out = out.unionByName(wide_paths(starts.join(large, "label", "left_semi"), inside.join(large, "label", "left_semi")))
+    return out
+
+
+def wide_paths(sources: DataFrame, edges: DataFrame) -> DataFrame:
+    """``shortest_paths`` from ``sources(src)`` over edges ``u, v, distance`` by joins.
+
+    Frontier relaxation: only pairs improved in the last round are extended.
     """
-    arcs = cut(edges.select(F.col("source").alias("u"), F.col("target").alias("v"), "distance")
-               .unionByName(edges.select(F.col("target").alias("u"), F.col("source").alias("v"), "distance")),
-               "arcs")
-    start = (sources if sources is not None else nodes).select(
-        F.col("node_id").alias("src"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist"))
+    arcs = cut(edges.select("u", "v", "distance").unionByName(
+        edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "distance")), "arcs")
+    start = sources.select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"))
     known = cut(start.withColumn("fresh", F.lit(True)), "paths")
     while True:
         frontier = known.where("fresh")

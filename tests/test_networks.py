@@ -1,6 +1,7 @@
 """Networks and topology against brute force."""
 
 import itertools
+import math
 import random
 from collections import defaultdict
 from hashlib import md5
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewise import storage
-from sitewise.operators import blocks, scan
+from sitewise.operators import blocks, graph, scan
 from sitewise.operators import distance as ds
 from sitewise.operators import mergetree as mt
 from sitewise.operators import network as nw
@@ -217,6 +218,39 @@ def test_topology_brute(spark, seed, wide):
         len(set(components([x for x in range(n) if x != v], [e[1:] for e in edges if v not in e[1:3]]).values())) > size}
 
 
+@pytest.mark.parametrize("work, limit", [(1 << 22, 1 << 20), (5, 1 << 20), (1 << 22, 1)])
+def test_shortest_paths_deal_sources_to_tasks(spark, monkeypatch, work, limit):
+    """Shared tasks, a component in many tasks, and joins (components above ``limit``) give the same rows."""
+    asked, by_joins = [], graph.wide_paths
+    monkeypatch.setattr(graph, "wide_paths", lambda *a: asked.append(1) or by_joins(*a))
+    plain = [(i, u, v, w / 4 + 0.1) for i, u, v, w in random_graph(4)]
+    plain += [(90, plain[0][2], plain[0][1], 0.2), (91, 30, 31, 0.3), (92, 31, 32, 2.0), (93, 30, 32, 2.5), (94, 31, 31, 1.0)]
+    nodes_df = spark.createDataFrame([(i,) for i in [*range(18), 30, 31, 32, 40, 40, None]], "node_id bigint")
+    edges_df = spark.createDataFrame(plain, "edge_index bigint, source bigint, target bigint, distance double")
+    want = {(i, i): 0.0 for i in [*range(18), 30, 31, 32]}
+    grew = True
+    while grew:
+        grew = False
+        for (s, x), d in list(want.items()):
+            for _, u, v, w in plain:
+                for a, b in ((u, v), (v, u)):
+                    if a == x and round(d + w, 10) < want.get((s, b), math.inf):
+                        want[s, b], grew = round(d + w, 10), True
+    want |= {(40, 40): 0.0, (None, None): 0.0}
+    rows = graph.shortest_paths(nodes_df, edges_df, component_edges=limit, work=work).collect()
+    assert {(r["src"], r["node"]): r["dist"] for r in rows} == want and len(rows) == len(want)
+    assert bool(asked) == (limit == 1)
+    some = graph.shortest_paths(nodes_df, edges_df, nodes_df.where("node_id = 31"), limit, work).collect()
+    assert {(r["src"], r["node"]): r["dist"] for r in some} == {k: d for k, d in want.items() if k[0] == 31}
+
+
+def test_sums_beyond_the_tenth_digit_go_by_joins(spark):
+    nodes_df = spark.createDataFrame([(1,), (2,), (3,)], "node_id bigint")
+    edges_df = spark.createDataFrame([(0, 1, 2, 1 / 3), (1, 2, 3, 1 / 3)], "edge_index bigint, source bigint, target bigint, distance double")
+    got = {(r["src"], r["node"]): r["dist"] for r in shortest_paths(nodes_df, edges_df).collect()}
+    assert len(got) == 9 and got[1, 2] == 0.3333333333 and got[1, 3] == 0.6666666666
+
+
 def test_edgeless_graph(spark):
     nodes = spark.createDataFrame([(i, None, 1.0) for i in range(3)], "node_id bigint, label string, frequency double")
     edges = spark.createDataFrame([], "edge_index bigint, source bigint, target bigint, distance double")
