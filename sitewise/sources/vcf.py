@@ -14,6 +14,8 @@ from sitewise.storage import cut
 META_KEY = "##SampleMetadata="
 # columns before the first sample
 FIXED = 9
+# samples of a record that are sorted and joined at once
+CELLS = 4096
 
 
 def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -25,18 +27,22 @@ def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
     """
     lines = ordered_text(spark, path).withColumn("value", F.regexp_replace("value", "\r$", ""))
     header = lines.where(F.col("value").startswith("#CHROM"))
-    names = header.agg(F.min_by(F.split("value", "\t"), "row")).scalar()
+    title = header.agg(F.min_by("value", "row").alias("value"))
+    names = title.select(F.posexplode(F.split("value", "\t")).alias("at", "sample")).where(f"at >= {FIXED}").select(
+        (F.col("at") - FIXED).cast("bigint").alias("sample_idx"), "sample")
+    fields = F.length("value") - F.length(F.translate("value", "\t", "")) + 1
+    # the genotypes of a record stay one text until they are rows, which are dealt to tasks by sample
     data = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
-        "row", F.split("value", "\t").alias("c")).withColumn("__h", names)
+        "row", F.split("value", "\t", FIXED + 1).alias("c"), fields.alias("__fields")).withColumn("__width", title.select(fields).scalar())
     def field(i: int) -> Column:
         return F.get("c", F.lit(i))
     parsed = data.select(
         "row", field(0).alias("chrom"), field(1).try_cast("bigint").alias("pos"), field(2).alias("id"),
         F.upper(field(3)).alias("ref"), F.split(F.upper(field(4)), ",").alias("alts"), field(5).alias("qual"),
-        field(6).alias("filter"), field(7).alias("info"), F.split(field(8), ":").alias("format"), "c", "__h")
+        field(6).alias("filter"), field(7).alias("info"), F.split(field(8), ":").alias("format"), field(FIXED).alias("__rest"), "__fields", "__width")
     blank = (F.col("ref") == "") | (F.col("ref") == ".") | F.exists("alts", lambda a: (a == "") | (a == "."))
     symbolic = F.exists("alts", lambda a: (a == "*") | a.startswith("<") | a.contains("[") | a.contains("]"))
-    code = (F.when(F.size("c") < F.size("__h"), "incomplete_record")
+    code = (F.when(F.col("__fields") < F.col("__width"), "incomplete_record")
             .when(F.col("pos").isNull(), "invalid_position").when(F.col("pos") < 1, "position_not_positive")
             .when(blank, "empty_allele").when(symbolic, "symbolic_allele"))
     parsed = parsed.withColumn("code", code)
@@ -50,11 +56,13 @@ def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
     violations = (parsed.where("code IS NOT NULL").select("code", ref).unionByName(bare).unionByName(void)
                   .unionByName(doubled.select(F.lit("duplicate_sample").alias("code"), F.col("s").alias("ref")))
                   .unionByName(contigs.select(F.lit("several_contigs").alias("code"), F.col("n").cast("string").alias("ref"))))
-    samples_in = F.arrays_zip(F.slice("__h", F.lit(10), F.size("__h")).alias("sample"), F.slice("c", F.lit(10), F.size("__h")).alias("field"))
     record = F.col("row").alias("record")
-    genotypes = variants.select(record, "chrom", "pos", F.posexplode(samples_in).alias("sample_idx", "z")).select(
-        "record", "chrom", "pos", F.col("sample_idx").cast("bigint").alias("sample_idx"), "z.sample", "z.field")
-    return variants.withColumnRenamed("row", "record").drop("c", "__h", "code"), genotypes, violations
+    calls = variants.select(record, "chrom", "pos", "__width", F.posexplode(F.split("__rest", "\t")).alias("sample_idx", "field")).where(
+        "sample_idx < __width").select("record", "chrom", "pos", F.col("sample_idx").cast("bigint").alias("sample_idx"), "field")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to decode
+    genotypes = calls.repartition(tasks, "sample_idx").join(names, "sample_idx", "left").select(
+        "record", "chrom", "pos", "sample_idx", "sample", "field")
+    return variants.withColumnRenamed("row", "record").drop("__rest", "__fields", "__width", "code"), genotypes, violations
 
 
 def genotype_allele(field: Column, format_keys: Column, ref: Column, alts: Column) -> Column:
@@ -291,6 +299,19 @@ def subset_vcf(spark: SparkSession, src: str, dst: str, wanted: DataFrame) -> No
     write_lines(header.unionByName(lines), dst, ["row"])
 
 
+def _side_by_side(rows: DataFrame, key: list[str], column: str) -> DataFrame:
+    """``key..., cells``: ``column`` of all samples in one tab-separated text, nulls left out.
+
+    Samples are sorted and joined in ranges of CELLS first, so that only texts of ranges meet in a record.
+    """
+    def joined(group: DataFrame, order: str, value: str, out: str) -> DataFrame:
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), "\t")
+        return group.agg(F.when(F.count(value) > 0, text).alias(out))
+    ranges = joined(rows.groupBy(*key, F.floor(F.col("sample_idx") / CELLS).alias("__range")), "sample_idx", column, "__cells")
+    whole = joined(ranges.groupBy(*key), "__range", "__cells", "cells")
+    return whole.withColumn("cells", F.coalesce("cells", F.lit("")))
+
+
 def write_vcf(variants: DataFrame, genotypes: DataFrame, path: str, reference_length: int | None = None,
               metadata: DataFrame | None = None) -> None:
     """VCF text. One line holds all genotypes of a record, as the format requires.
@@ -306,16 +327,16 @@ def write_vcf(variants: DataFrame, genotypes: DataFrame, path: str, reference_le
                                   (0, 3, '##FORMAT=<ID=GT,Number=1,Type=String,Description="Haploid genotype">')],
                                  "part int, ord bigint, value string")
     columns = "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT".replace(" ", "\t")
-    title = names.agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "sample"))), lambda x: x["sample"]).alias("s")).select(
-        F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("ord"), F.concat(F.lit(columns + "\t"), F.array_join("s", "\t")).alias("value"))
+    title = _side_by_side(names, [], "sample").select(
+        F.lit(2).alias("part"), F.lit(0).cast("bigint").alias("ord"), F.concat(F.lit(columns + "\t"), "cells").alias("value"))
     key = ["record"] if "record" in genotypes.columns and "record" in variants.columns else ["chrom", "pos"]
-    fields = genotypes.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "field"))), lambda x: x["field"]).alias("g"))
+    fields = _side_by_side(genotypes, key, "field")
     def kept(column: str, default: str) -> Column:
         return F.coalesce(column, F.lit(default)) if column in variants.columns else F.lit(default)
     # records that were read keep their order
     rows = variants.join(fields, key).select(F.lit(3).alias("part"), F.col(key[-1]).alias("ord"), F.concat_ws(
         "\t", "chrom", F.col("pos").cast("string"), kept("id", "."), "ref", F.array_join("alts", ","), kept("qual", "."), kept("filter", "PASS"), "info",
-        F.array_join("format", ":"), F.array_join("g", "\t")).alias("value"))
+        F.array_join("format", ":"), "cells").alias("value"))
     out = head.unionByName(contig).unionByName(title).unionByName(rows)
     if metadata is not None:
         out = out.unionByName(metadata.select(F.lit(1).alias("part"), F.col("sample_idx").alias("ord"), F.concat(

@@ -152,6 +152,27 @@ def test_records_of_one_position_stay_apart(spark, put):
     assert [r[0] for r in spark.read.text(path).where("value LIKE 'c%'").orderBy("value").collect()] == body.splitlines()
 
 
+def test_fields_of_a_record_are_dealt_to_tasks(spark, put, monkeypatch):
+    """One line with many samples is decoded by several tasks; ranges of samples are joined in their order."""
+    n = 300
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *[f"s{k}" for k in range(n)]])
+    fixed = ["c", "4", ".", "A", "C", ".", ".", ".", "GT"]
+    wide = [*fixed, *[str(k % 2) for k in range(n)], "extra", ""]
+    path = put("wide.vcf", "\n".join([head, "\t".join(wide), "\t".join(wide[:len(fixed) + n - 1])]) + "\n")
+    variants, genotypes, violations = vcf.read_vcf(spark, path)
+    rows = sorted((r["sample_idx"], r["sample"], r["field"]) for r in genotypes.where("sample IS NOT NULL").collect())
+    assert rows == [(k, f"s{k}", str(k % 2)) for k in range(n)]
+    assert [(r["sample_idx"], r["field"]) for r in genotypes.where("sample IS NULL").orderBy("sample_idx").collect()] == [(n, "extra"), (n + 1, "")]
+    assert [(r["code"], r["ref"]) for r in violations.collect()] == [("incomplete_record", "2")]
+    assert genotypes.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    monkeypatch.setattr(vcf, "CELLS", 7)
+    out = scratch_path(spark, "wide") + ".vcf"
+    vcf.write_vcf(variants, genotypes.where("sample IS NOT NULL"), out)
+    lines = [r["value"] for r in spark.read.text(out).collect()]
+    assert [x for x in lines if x.startswith("#CHROM")] == [head]
+    assert [x.split("\t")[9:] for x in lines if x.startswith("c\t")] == [wide[9:9 + n]]
+
+
 def test_vcf_subset_keeps_records(spark, put):
     head = "##fileformat=VCFv4.2\n##contig=<ID=c>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2\ts3\n"
     first, second = "c\t9\tr1\tA\t<DEL>\t7\tq\tX=1;Y\tGT:DP", "c\t2\t.\tA\tG\t.\tPASS\t.\tGT"
