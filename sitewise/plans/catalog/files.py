@@ -37,8 +37,10 @@ def fasta_scan_clean(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").rlike("[A-Za-z]"))
     path = scratch_path(spark, "documents") + ".fasta"
     header = F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(", "), "lang", F.lit(' "'), "source", F.lit('"=1'))
-    body = F.regexp_replace(F.regexp_replace("text", "[^A-Za-z\n]", ""), "\n+", "\r\n")
-    write_lines(docs.select("doc_id", F.concat(header, F.lit("\r\n"), body).alias("value")), path, ["doc_id"])
+    # taking out what stays is many times faster on long texts than replacing the rest
+    letters = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z\n]+"), 0), "")
+    body = F.array_join(F.split(letters, "\n+"), "\r\n")
+    write_lines(docs.select("doc_id", "lang", "source", "text"), path, ["doc_id"], F.concat(header, F.lit("\r\n"), body))
     return sq.read_fasta(spark, path, clean=True).select("sample_idx", "sample", F.sha2("sequence", 256).alias("fingerprint"))
 
 

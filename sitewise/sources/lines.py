@@ -44,6 +44,10 @@ def ordered_text(spark: SparkSession, path: str | list[str], line_sep: str | Non
         "file", (place + F.col("__in_file")).alias("line"), (place + F.col("__in_all")).alias("row"), "value")
 
 
-def write_lines(df: DataFrame, path: str, order: list[str]) -> None:
-    """Write the ``value`` column as text in the given order (part files sort by name)."""
-    df.orderBy(*order).select("value").write.text(path)
+def write_lines(df: DataFrame, path: str, order: list[str], value: Column | None = None) -> None:
+    """Write the ``value`` column as text in the given order (part files sort by name).
+
+    A sort reads its input twice, once for the bounds of its ranges; a costly ``value`` that is
+    given as an expression is made behind the sort, once for each row and in all of its tasks.
+    """
+    df.orderBy(*order).select("value" if value is None else value.alias("value")).write.text(path)

@@ -14,7 +14,7 @@ from sitewise.sources import convert as cv
 from sitewise.sources import sequences as sq
 from sitewise.sources import tables as tb
 from sitewise.sources import vcf
-from sitewise.sources.lines import ordered_text
+from sitewise.sources.lines import ordered_text, write_lines
 from sitewise.storage import scratch_path
 
 
@@ -386,3 +386,15 @@ def test_fingerprints_of_large_files_are_read_in_splits(spark, tmp_path):
     assert got == prints(100, "128m") and set(got) == set(names)
     assert got["a b+%41{x}.bin"] == got["same.bin"] and len(set(got.values())) == 4
     assert got["small.bin"] == hashlib.sha256(b"x").hexdigest()
+
+
+def test_lines_are_made_once(spark):
+    """A line that is given as an expression is not made again for the bounds of the sort."""
+    made = spark.sparkContext.accumulator(0)
+    def line(k):
+        made.add(1)
+        return f"line {k}"
+    path = scratch_path(spark, "lines")
+    write_lines(spark.range(50).selectExpr("49 - id AS k"), path, ["k"], F.udf(line, "string")("k"))
+    assert made.value == 50
+    assert [r["value"] for r in ordered_text(spark, path).orderBy("row").collect()] == [f"line {k}" for k in range(50)]
