@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sitewise.llm.words import SHINGLE, mix, pieces, shingle_sets, signed, texts_of
 from sitewise.operators.graph import component_labels
-from sitewise.storage import cut, cut_counted
+from sitewise.storage import cut, cut_counted, small_batches
 
 PERCENT = 80
 SKETCH_BITS = 22  # counters of the frequency sketch: 4 MB in each task, whatever the input
@@ -342,6 +342,11 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int,
 def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``members`` (doc_id, key, node, n) of all rows of ``docs``, ``key`` being a hash of the text,
     and ``labels`` (node, label) of the nodes that have a link; nodes of one component have one label."""
+    with small_batches(docs.sparkSession):
+        return _similar_sets(docs, width, percent)
+
+
+def _similar_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     read = docs.select("doc_id", "text")
     scanned = cut(read.withColumn("key", text_key(read)).mapInArrow(_members(width), _MEMBER_DDL), "jaccard-members")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.words import pieces, texts_of
-from sitewise.storage import cut
+from sitewise.storage import cut, small_batches
 
 NEAR_WORDS = 5     # shorter lines are compared for equality only
 FILTER_BITS = 26   # slots of each filter: 8 MB in each task
@@ -213,6 +213,11 @@ def removed_lines(read: DataFrame) -> DataFrame:
     tasks, and so are the lines with one variant, so neither a common line nor a common pattern
     is ever paired with itself.
     """
+    with small_batches(read.sparkSession):
+        return _removed_lines(read)
+
+
+def _removed_lines(read: DataFrame) -> DataFrame:
     spark = read.sparkSession
     text = read.select("text")
     twice = spark.sparkContext.broadcast(_bit_map(text.mapInArrow(_met_twice, "once binary, twice binary"), "twice"))

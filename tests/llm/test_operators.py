@@ -395,3 +395,24 @@ def test_shingle_sets_of_many_texts_at_once(monkeypatch):
             assert len(jaccard.nodes_of(got)) == len(jaccard.bitmaps_of(got)) == len(texts)
     assert len(set(seen.values())) == len(seen) > 1000
     assert jaccard.nodes_of([np.array([1, 2], np.uint64), np.zeros(0, np.uint64)])[1] == -1
+
+
+@pytest.mark.parametrize("module, run", [(jaccard, jaccard.components), (linededup, lambda docs: linededup.dedup_lines(docs))])
+def test_texts_reach_tasks_in_small_batches(spark, monkeypatch, module, run):
+    """A job holds a few texts at a time, however long they are."""
+    key, largest = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key, None)
+    table = spark.range(0, 64, 1, 1).selectExpr("id AS doc_id", "concat(id, repeat(' some word', 40000)) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.slice(0, 0).from_pydict({"n": [batch.nbytes]})
+
+    def cut(*args):
+        largest.append(table.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0])
+        raise InterruptedError
+    monkeypatch.setattr(module, "cut", cut)
+    with pytest.raises(InterruptedError):
+        run(table)
+    assert largest and max(largest) < 6 << 20 < 64 * 400_000
+    assert spark.conf.get(key, None) == before
