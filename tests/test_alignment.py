@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitewise import storage
 from sitewise.functions.sequence import harmonic
 from sitewise.operators import distance as ds
 from sitewise.operators import diversity as dv
@@ -307,6 +308,24 @@ def test_pcoa_has_one_definition_at_every_size(spark):
     assert few and not any(r["converged"] for r in few)
 
 
+def test_absolute_spectrum_leaves_no_full_matrices(spark, tmp_path, monkeypatch):
+    """Sums of absolute eigenvalues of full, deficient and indefinite matrices, without a matrix written for each round."""
+    monkeypatch.setattr(od, "STRIP_BYTES", 1 << 12, raising=False)
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    rng = np.random.default_rng(6)
+    for n, rank, block in ((40, 40, 7), (33, 5, 8), (64, 64, 16)):
+        x = rng.standard_normal((n, rank))
+        matrix = (x * rng.standard_normal(rank)) @ x.T
+        ids = rng.permutation(1000)[:n]
+        table = spark.createDataFrame([(int(ids[i]), int(ids[j]), float(matrix[i, j])) for i in range(n) for j in range(n)],
+                                      "i long, j long, b double")
+        got = od.absolute_sum(table, n, float(np.abs(matrix).sum(axis=1).max()), block)
+        assert got == pytest.approx(np.abs(np.linalg.eigvalsh(matrix)).sum(), rel=1e-8)
+        assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) <= 3 * 8 * n * n
+    one = spark.createDataFrame([(3, 3, -2.0)], "i long, j long, b double")
+    assert od.absolute_sum(one, 1, 2.0) == pytest.approx(2.0) and od.absolute_sum(one, 1, 0.0) == 0.0
+
+
 def test_no_ordination_with_missing_distance(make):
     rows = make([("a", "x", "ACGT"), ("b", "x", "NNNN"), ("c", "x", "ACGA")])
     frame = ds.distinct_sequences(rows)
