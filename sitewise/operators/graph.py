@@ -8,6 +8,8 @@ adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -15,9 +17,13 @@ from pyspark.sql import functions as F
 
 from sitewise.storage import cut, cut_counted
 
-# Sources of a component are dealt to tasks so that each makes about WORK pairs. A task holds the
-# edges of one component; components with more than COMPONENT_EDGES are worked on by joins instead.
+# Components that make WORK pairs are a task of their own; larger ones are dealt to tasks by SOURCES, as every
+# task gets a copy of the edges. A task holds the edges of one component and a table of TABLE distances at a time,
+# which leaves it in pieces; components with more than COMPONENT_EDGES are worked on by joins instead.
 WORK = 1 << 22
+SOURCES = 512
+TABLE = 1 << 23
+PIECE = 1 << 18
 COMPONENT_EDGES = 1 << 20
 # path sums have this many digits; up to EXACT they are whole numbers of their last digit in a double
 DIGITS = 10
@@ -108,8 +114,9 @@ def spanning_forest(edges: DataFrame, key: list[str], order: list[str]) -> DataF
         left = cut(left.where("cu <> cv"), "forest-edges")
 
 
-def _component_paths(sources: list, u: np.ndarray, v: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of a connected component and the table of their distances from ``sources``, one column each.
+def _component_paths(sources: np.ndarray, u: np.ndarray, v: np.ndarray, units: np.ndarray, cells: int
+                     ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sources, nodes of a connected component and the table nodes x sources of distances, ``cells`` at a time.
 
     Nodes are put in breadth-first order, in which a path goes down and up again; a sweep over the
     nodes each way follows that for all sources at once, and sweeps go on until nothing changes.
@@ -126,32 +133,50 @@ def _component_paths(sources: list, u: np.ndarray, v: np.ndarray, units: np.ndar
                 place[other] = len(order)
                 order.append(other)
     arcs = [[(place[b], w) for b, w in near[node]] for node in order]
-    above = [(p, q, w) for p in range(len(order) - 1, -1, -1) for q, w in arcs[p] if q > p]
-    below = [(p, q, w) for p in range(len(order)) for q, w in arcs[p] if q < p]
+    arcs = ([(p, q, w) for p in range(len(order) - 1, -1, -1) for q, w in arcs[p] if q > p]
+            + [(p, q, w) for p in range(len(order)) for q, w in arcs[p] if q < p])
     at = {x: place[k] for k, x in enumerate(ids.tolist())}
-    table = np.full((len(order), len(sources)), np.inf)
-    table[[at[x] for x in sources], np.arange(len(sources))] = 0.0
-    rows, other = list(table), np.empty(len(sources))
-    while True:
-        before = table.copy()
-        for p, q, w in above + below:
-            np.add(rows[q], w, out=other)
-            np.minimum(rows[p], other, out=rows[p])
-        if np.array_equal(before, table):
-            return ids[order], table
-
-
-def _path_task(sources: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    start = sources.groupby("label")["src"]
-    for label, own in edges.groupby("label"):
+    width = max(1, cells // len(order))
+    for start in range(0, len(sources), width):
+        some = sources[start:start + width]
+        table = np.full((len(order), len(some)), np.inf)
+        table[[at[x] for x in some.tolist()], np.arange(len(some))] = 0.0
+        rows, other = list(table), np.empty(len(some))
+        while True:
+            before = table.copy()
+            for p, q, w in arcs:
+                np.add(rows[q], w, out=other)
+                np.minimum(rows[p], other, out=rows[p])
+            if np.array_equal(before, table):
+                break
+        yield some, ids[order], table
+
+
+def _path_task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Paths of some components, a piece at a time: rows are edges, or sources in ``u``."""
+    rows = pd.concat(list(parts), ignore_index=True)
+    start = rows[~rows["edge"]].groupby("label")["u"]
+    held, rest = [], PIECE
+    for label, own in rows[rows["edge"]].groupby("label"):
         if label not in start.groups:
             continue
-        src = start.get_group(label).to_numpy()
-        nodes, table = _component_paths(src.tolist(), own["u"].to_numpy(), own["v"].to_numpy(),
-                                        np.rint(own["distance"].to_numpy() * 10 ** DIGITS))
-        out.append((np.repeat(src, len(nodes)), np.tile(nodes, len(src)), table.T.ravel() / 10 ** DIGITS))
-    src, node, dist = (np.concatenate(part) for part in zip(*out)) if out else ([], [], [])
+        units = np.rint(own["distance"].to_numpy() * 10 ** DIGITS)
+        for src, nodes, table in _component_paths(start.get_group(label).to_numpy(), own["u"].to_numpy(), own["v"].to_numpy(), units, TABLE):
+            # all sources of a node side by side, which files store in few bits
+            step = max(1, PIECE // len(src))
+            for k in range(0, len(nodes), step):
+                some = nodes[k:k + step]
+                held.append((np.tile(src, len(some)), np.repeat(some, len(src)), table[k:k + step].ravel() / 10 ** DIGITS))
+                rest -= len(held[-1][2])
+                if rest <= 0:
+                    yield _paths(held)
+                    held, rest = [], PIECE
+    if held:
+        yield _paths(held)
+
+
+def _paths(held: list[tuple]) -> pd.DataFrame:
+    src, node, dist = (np.concatenate(part) for part in zip(*held))
     return pd.DataFrame({"src": src, "node": node, "dist": dist})
 
 
@@ -160,9 +185,10 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     """Weighted distances ``src, node, dist`` from every source (all nodes by default).
 
     Path sums are rounded to ten digits, so that equally long paths compare as equal. Pairs are
-    quadratic in a component: its sources are dealt to tasks, which get its edges and about
-    ``work`` pairs each, so that a pair is made once and never shuffled. Components with more than
-    ``component_edges`` edges, or whose sums are not exact at the tenth digit, go by ``wide_paths``.
+    quadratic in a component: beyond ``work`` pairs its sources are dealt to tasks, at least SOURCES
+    to each, which get its edges, so that a pair is made once and never shuffled and copies of edges
+    are few beside the pairs. Components with more than ``component_edges`` edges, or whose sums are
+    not exact at the tenth digit, go by ``wide_paths``.
     """
     spark = nodes.sparkSession
     starts = (sources if sources is not None else nodes).select(F.col("node_id").alias("src")).distinct()
@@ -178,7 +204,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
         F.bool_and(F.coalesce(exact, F.lit(False))) & (F.sum("distance") <= EXACT)).alias("exact"))
     size = starts.groupBy("label").agg(F.count(F.lit(1)).alias("k")).join(size, "label").withColumn(
         "fits", F.coalesce(F.col("exact"), F.lit(False)) & (F.col("m") <= component_edges))
-    size = cut(size.withColumn("chunks", F.least("k", F.ceil(F.col("k") * F.col("m") / work)).cast("int")), "path-sizes")
+    size = cut(size.withColumn("chunks", F.least(F.ceil(F.col("k") / SOURCES), F.ceil(F.col("k") * F.col("m") / work)).cast("int")), "path-sizes")
     facts = size.agg(F.sum(F.when(F.col("fits") & (F.col("chunks") == 1), F.col("k") * F.col("m"))).alias("small"),
                      F.count_if(~F.col("fits")).alias("wide")).first()
     # components with one chunk share tasks by their hash; other hashes are keys of their own
@@ -186,12 +212,14 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     bins = max(tasks, -(-(facts["small"] or 0) // work))
     key = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("label"), F.lit(bins))).otherwise(F.xxhash64("label"))
     dealt = size.where("fits").select("label", "chunks", key.alias("bin"))
-    own = starts.join(dealt, "label").select("bin", F.pmod(F.xxhash64("src"), F.col("chunks")).cast("int").alias("chunk"), "label", "src")
-    given = inside.join(dealt.toDF(*dealt.columns), "label").select("bin", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "label", "u", "v", "distance")
-    # rows are few bytes, which adaptive execution would put together, while the work grows with the pairs
-    both = [df.repartition(tasks, "bin", "chunk").groupBy("bin", "chunk") for df in (own, given)]
+    own = starts.join(dealt, "label").select("bin", F.pmod(F.xxhash64("src"), F.col("chunks")).cast("int").alias("chunk"), "label",
+                                             F.lit(False).alias("edge"), F.col("src").alias("u"), F.col("src").alias("v"), F.lit(0.0).alias("distance"))
+    given = inside.join(dealt.toDF(*dealt.columns), "label").select(
+        "bin", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "label", F.lit(True).alias("edge"), "u", "v", F.col("distance").cast("double"))
     kind = starts.schema["src"].dataType.simpleString()
-    inner = both[0].cogroup(both[1]).applyInPandas(_path_task, f"src {kind}, node {kind}, dist double")
+    # rows are few bytes, which adaptive execution would put together, while the work grows with the pairs
+    inner = own.unionByName(given).repartition(tasks, "bin", "chunk").groupBy("bin", "chunk").applyInPandas(
+        _path_task, f"src {kind}, node {kind}, dist double")
     alone = starts.join(size, "label", "left_anti").select("src", F.col("src").alias("node"), F.lit(0.0).alias("dist"))
     out = inner.unionByName(alone)
     if facts["wide"]:

@@ -244,6 +244,22 @@ def test_shortest_paths_deal_sources_to_tasks(spark, monkeypatch, work, limit):
     assert {(r["src"], r["node"]): r["dist"] for r in some} == {k: d for k, d in want.items() if k[0] == 31}
 
 
+def test_shortest_paths_copy_edges_to_few_tasks(spark, monkeypatch):
+    """Beyond ``work`` pairs a component is dealt by SOURCES, not into a task with all edges for each few pairs."""
+    chain = [(i, i, i + 1, 1.0) for i in range(40)]
+    nodes_df = spark.createDataFrame([(i,) for i in range(41)], "node_id bigint")
+    edges_df = spark.createDataFrame(chain, "edge_index bigint, source bigint, target bigint, distance double")
+    def tasks():
+        rows = shortest_paths(nodes_df, edges_df, work=5).select("*", F.spark_partition_id().alias("task")).collect()
+        assert len(rows) == 41 * 41 and {(r["src"], r["node"], r["dist"]) for r in rows} == {
+            (i, j, float(abs(i - j))) for i in range(41) for j in range(41)}
+        return len({r["task"] for r in rows})
+    assert tasks() == 1
+    for name, size in (("SOURCES", 4), ("TABLE", 100), ("PIECE", 30)):
+        monkeypatch.setattr(graph, name, size)
+    assert tasks() > 1
+
+
 def test_sums_beyond_the_tenth_digit_go_by_joins(spark):
     nodes_df = spark.createDataFrame([(1,), (2,), (3,)], "node_id bigint")
     edges_df = spark.createDataFrame([(0, 1, 2, 1 / 3), (1, 2, 3, 1 / 3)], "edge_index bigint, source bigint, target bigint, distance double")
