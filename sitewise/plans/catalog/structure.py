@@ -269,13 +269,14 @@ def haplotype_distances(spark, d):
  FROM (SELECT count(*) FILTER (diff % 2 = 0 AND diff > 0) AS e FROM dist)""")
 def validate_distances(spark, d):
     rows = cut(ds.distinct_sequences(samples(spark, d)), "distinct")
-    pairs = cut(ds.p_distance(rows).select("i", "j", "diff", "distance"), "pairs")
-    labels = rows.select("idx")
-    matrix = st.square_matrix(pairs, "i", "j", "distance", labels)
-    broken = (matrix.join(pairs.select(F.col("i").alias("row"), F.col("j").alias("col"), "diff"),
-                          ["row", "col"], "left")
+    # the sign is set before the pairs become two cells each, so that no cell is joined with its pair
+    signed = ds.p_distance(rows).select("i", "j", F.when(F.col("diff") % 2 == 0, -F.col("distance")).otherwise(F.col("distance")).alias("signed"))
+    matrix = st.square_matrix(signed, "i", "j", "signed", rows.select("idx"))
+    copies = rows.groupBy("idx").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    row, col = F.col("row"), F.col("col")
+    broken = (matrix.join(copies.toDF("row", "a"), "row").join(copies.toDF("col", "b"), "col")
               .join(rows.select(F.col("idx").alias("row"), "n"), "row")
-              .withColumn("value", F.when(F.col("diff") % 2 == 0, -F.col("value"))
-                          .when((F.col("row") == F.col("col")) & (F.col("n") > 1), 1.0)
-                          .otherwise(F.col("value"))))
+              .withColumn("value", F.when(row < col, F.col("value")).when((row == col) & (F.col("n") > 1), 1.0).otherwise(F.abs("value")))
+              # cells of repeated rows come as often as their pair does
+              .withColumn("time", F.explode(F.array_repeat(F.lit(0), F.when(row < col, F.col("a") * F.col("b")).otherwise(1)))))
     return ds.validate_distances(broken.select("row", "col", "value"))

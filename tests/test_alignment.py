@@ -377,6 +377,24 @@ def test_distance_checks_count_repeated_and_missing_cells(spark):
     assert [r["cells"] for r in ds.validate_distances(matrix.limit(0)).collect()] == [0, 0, 0]
 
 
+def test_distance_checks_shuffle_packed_cells(spark, tmp_path, monkeypatch):
+    """Cells with their mirrors take a few bytes, and give the counts of cells one by one, in whatever task they are."""
+    monkeypatch.setattr(ds, "CELLS", 500, raising=False)
+    rng = random.Random(9)
+    rows = [(rng.randrange(9), rng.randrange(9), rng.choice([0.0, 0.5, -0.5, None, float("nan")])) for _ in range(400)]
+    rows += [(r, 100 + c, v) for r, c, v in rows for r, c in ((r, c), (c, r))] + [(None, 3, -1.0), (3, None, None)]
+    matrix = spark.createDataFrame(rows, "row bigint, col bigint, value double").repartition(3)
+    want = ds.validate_distances(matrix.selectExpr("cast(row AS string) AS row", "cast(col AS string) AS col", "value")).collect()
+    assert ds.validate_distances(matrix).collect() == want and all(r["cells"] > 0 for r in want)
+    whole = spark.range(300 * 300, numPartitions=2).selectExpr("id div 300 AS a", "id % 300 AS b").where("a < b")
+    sides = F.array(F.struct(F.col("a").alias("row"), F.col("b").alias("col")), F.struct(F.col("b").alias("row"), F.col("a").alias("col")))
+    cells = whole.select(F.explode(sides).alias("z"), (F.pmod(F.xxhash64("a", "b"), F.lit(50)) / 64).alias("value")).select("z.*", "value")
+    checked = ds.validate_distances(cells)
+    assert [r["cells"] for r in checked.collect()] == [0, 0, 0]
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "keys=[a" not in plan
+
+
 def test_block_pairs_are_dealt_to_several_tasks(spark):
     rng = random.Random(3)
     made = sorted({"".join(rng.choice("ACGT") for _ in range(12)) for _ in range(200)})
