@@ -16,6 +16,8 @@ META_KEY = "##SampleMetadata="
 FIXED = 9
 # samples of a record that are sorted and joined at once
 CELLS = 4096
+# alleles of a record up to which the calls of all pairs are worked out in advance
+PAIRED = 4
 
 
 def read_vcf(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,10 +73,16 @@ def genotype_allele(field: Column, format_keys: Column, ref: Column, alts: Colum
     Missing calls give N over the widest allele, equal alleles give the allele, mixed single
     bases their ambiguity code, anything else N over the widest called allele.
     """
-    at = F.array_position(format_keys, "GT")
-    gt = F.when(at > 0, F.coalesce(F.get(F.split(field, ":"), (at - 1).cast("int")), F.lit(".")))
+    return _called(_gt(field, F.array_position(format_keys, "GT")), F.concat(F.array(ref), alts))
+
+
+def _gt(field: Column, at: Column) -> Column:
+    part = F.when(F.contains(field, F.lit(":")), F.get(F.split(field, ":"), (at - 1).cast("int"))).when(at == 1, field)
+    return F.when(at > 0, F.coalesce(part, F.lit(".")))
+
+
+def _called(gt: Column, alleles: Column) -> Column:
     calls = F.split(gt, r"[/|]")
-    alleles = F.concat(F.array(ref), alts)
     chosen = F.transform(calls, lambda c: F.get(alleles, c.try_cast("int")))
     distinct = F.array_distinct(chosen)
     def width(xs: Column) -> Column:
@@ -88,11 +96,25 @@ def genotype_allele(field: Column, format_keys: Column, ref: Column, alts: Colum
             .otherwise(F.repeat(F.lit("N"), width(chosen))))
 
 
+def _usual_calls(alleles: Column) -> Column:
+    """Map of the usual genotypes of a record to what they call: one allele or none and, of up to PAIRED alleles, pairs."""
+    one = F.transform(F.sequence(F.lit(0), F.size(alleles) - 1), lambda i: i.cast("string"))
+    two = F.flatten(F.transform(one, lambda x: F.flatten(F.transform(one, lambda y: F.array(F.concat(x, F.lit("/"), y), F.concat(x, F.lit("|"), y))))))
+    pairs = F.when(F.size(alleles) <= PAIRED, two).otherwise(F.array().cast("array<string>"))
+    keys = F.concat(one, F.array(*[F.lit(x) for x in (".", "./.", ".|.")]), pairs)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: _called(k, alleles)))
+
+
 def decode_genotypes(genotypes: DataFrame, variants: DataFrame) -> DataFrame:
-    """``genotypes`` with ``allele``; records are told apart by ``record`` where both tables have it."""
+    """``genotypes`` with ``allele``; records are told apart by ``record`` where both tables have it.
+
+    What the usual genotypes call is worked out once for a record; others are decoded one by one.
+    """
     key = ["record"] if "record" in genotypes.columns and "record" in variants.columns else ["chrom", "pos"]
-    joined = genotypes.join(variants.select(*key, "ref", "alts", "format"), key)
-    return joined.withColumn("allele", genotype_allele(F.col("field"), F.col("format"), F.col("ref"), F.col("alts")))
+    alleles = F.concat(F.array("ref"), F.col("alts"))
+    records = variants.select(*key, "ref", "alts", "format", F.array_position("format", F.lit("GT")).alias("__at"), _usual_calls(alleles).alias("__usual"))
+    joined = genotypes.join(records, key).withColumn("__gt", _gt(F.col("field"), F.col("__at")))
+    return joined.withColumn("allele", F.coalesce(F.try_element_at("__usual", F.col("__gt")), _called(F.col("__gt"), alleles))).drop("__at", "__usual", "__gt")
 
 
 def overlapping_variants(variants: DataFrame) -> DataFrame:
@@ -114,6 +136,8 @@ def vcf_to_alignment(variants: DataFrame, genotypes: DataFrame, reference: str |
     Raises on overlapping records, on records that disagree with the reference and, when the
     result is computed, on invalid genotypes.
     """
+    # read from text, a record's few bytes count as its whole line, and the joins with it would be by record, not broadcast
+    variants = cut(variants.select(*[c for c in ("record", "chrom", "pos", "ref", "alts", "format") if c in variants.columns]), "variants")
     if not overlapping_variants(variants).isEmpty():
         raise ValueError("overlapping variants cannot be turned into an alignment")
     width = F.array_max(F.transform(F.concat(F.array("ref"), F.col("alts")), lambda a: F.length(a)))

@@ -152,6 +152,29 @@ def test_records_of_one_position_stay_apart(spark, put):
     assert [r[0] for r in spark.read.text(path).where("value LIKE 'c%'").orderBy("value").collect()] == body.splitlines()
 
 
+def test_genotypes_of_wide_lines_stay_in_their_tasks(spark, put, monkeypatch):
+    """Records are broadcast to the genotypes whatever their lines take; usual and other calls are the same in advance and one by one."""
+    calls = {"0": "AC-", "1": "G--", "2": "TTT", ".": "NNN", "./.": "NNN", "0/2": "NNN", "1|1": "G--", "+1": "G--", "0/0/0": "AC-", "1:7": "G--", ":3": "NNN", "0:": "AC-"}
+    fields = [list(calls)[i % len(calls)] for i in range(20000)]
+    text = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *[f"s{i}" for i in range(20000)]]) + "\n"
+    for pos, ref, alts in ((2, "AC", "G,TTT"), (9, "A", "C")):
+        row = fields if pos == 2 else ["0/1" if f == "0/2" else "0" if f == "2" else f for f in fields]
+        text += "\t".join(["c", str(pos), ".", ref, alts, ".", "PASS", ".", "GT:DP", *row]) + "\n"
+    second = {"AC-": "A", "G--": "C", "TTT": "A", "NNN": "N"}
+    want = [(f"s{i}", calls[f] + ("M" if f == "0/2" else second[calls[f]])) for i, f in enumerate(fields)]
+    variants, genotypes, _ = vcf.read_vcf(spark, put("wide.vcf", text))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        out = vcf.vcf_to_alignment(variants, genotypes)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(record" not in plan and "hashpartitioning(chrom" not in plan
+        assert sorted(records(out)) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(vcf, "PAIRED", 0)
+    assert sorted(records(vcf.vcf_to_alignment(variants, genotypes))) == sorted(want)
+
+
 def test_fields_of_a_record_are_dealt_to_tasks(spark, put, monkeypatch):
     """One line with many samples is decoded by several tasks; ranges of samples are joined in their order."""
     n = 300
