@@ -308,6 +308,22 @@ def test_pcoa_has_one_definition_at_every_size(spark):
     assert few and not any(r["converged"] for r in few)
 
 
+def test_ordination_of_many_rows_writes_no_centred_matrix(make, spark, tmp_path, monkeypatch):
+    """Beyond ``max_exact`` rows the matrix is made from the pairs, with the same axes."""
+    rows = ds.distinct_sequences(make(random_rows(17, n=40)))
+    pairs = ds.p_distance(rows).select("i", "j", "distance")
+    monkeypatch.setattr(storage, "shared_dir", lambda _: f"file://{tmp_path}")
+    def values(limit):
+        coordinates, spectrum = od.pcoa(pairs, rows, max_exact=limit)
+        return ([abs(r["value"]) for r in coordinates.orderBy("idx", "axis").collect()],
+                [x for r in spectrum.orderBy("axis").collect() for x in (r["eigenvalue"], r["explained_ratio"], r["trace"])])
+    got = values(0)
+    assert got[0] and not list(tmp_path.glob("centred-*"))
+    want = values(2000)
+    assert list(tmp_path.glob("centred-*"))
+    assert got[0] == pytest.approx(want[0], abs=1e-5) and got[1] == pytest.approx(want[1], rel=1e-8)
+
+
 def test_absolute_spectrum_leaves_no_full_matrices(spark, tmp_path, monkeypatch):
     """Sums of absolute eigenvalues of full, deficient and indefinite matrices, without a matrix written for each round."""
     monkeypatch.setattr(od, "STRIP_BYTES", 1 << 12, raising=False)
